@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from plurality.llm import mixing
+from plurality.llm import line_quality, mixing
 
 
 def queries() -> dict:
     return {
+        "op6_line_frequency_quality": line_quality.op6_line_frequency_quality,
         "op7_weighted_fair_mix": mixing.op7_weighted_fair_mix,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_line_frequency_quality": line_quality.ORACLE,
         "op7_weighted_fair_mix": mixing.ORACLE,
     }
