@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from plurality.llm import line_quality, mixing
+from plurality.llm import line_quality, mixing, secrets
 
 
 def queries() -> dict:
     return {
+        "op1_randomness_secrets": secrets.op1_randomness_secrets,
         "op6_line_frequency_quality": line_quality.op6_line_frequency_quality,
         "op7_weighted_fair_mix": mixing.op7_weighted_fair_mix,
     }
