@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plurality.llm import line_quality, mixing, secrets
+from plurality.llm import line_quality, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
         "op6_line_frequency_quality": line_quality.op6_line_frequency_quality,
         "op7_weighted_fair_mix": mixing.op7_weighted_fair_mix,
+        "op8_simhash_pigeonhole": simhash.op8_simhash_pigeonhole,
     }
 
 
