@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, language, line_quality, mixing, secrets, simhash
+from plurality.llm import bpe, html_text, language, line_quality, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_line_frequency_quality": line_quality.op6_line_frequency_quality,
         "op7_weighted_fair_mix": mixing.op7_weighted_fair_mix,
         "op8_simhash_pigeonhole": simhash.op8_simhash_pigeonhole,
+        "op9_composite_text_density": html_text.op9_composite_text_density,
     }
 
 
