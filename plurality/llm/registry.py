@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, html_text, language, line_quality, mixing, secrets, simhash
+from plurality.llm import bpe, html_text, language, lattice, line_quality, mixing, secrets, simhash
 
 
 def queries() -> dict:
     return {
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
+        "op3_e8_lattice": lattice.op3_e8_lattice,
         "op4_duckdb_bpe": bpe.op4_duckdb_bpe,
         "op5_segmentation_language": language.op5_segmentation_language,
         "op6_line_frequency_quality": line_quality.op6_line_frequency_quality,
