@@ -10,12 +10,12 @@ passes with all pieces of a length equally likely) and smoothing.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.llm.common import table, text_or_empty
 
-#: Documents of each language the model is fitted on (smallest hashes of their ids), at most.
+#: Documents of each language the model is fitted on (smallest hashes of their ids), about.
 TRAIN_DOCS = 1500
 #: Longest piece in characters; longer entries of the vocabulary are never used.
 MAX_PIECE = 5
@@ -174,13 +174,19 @@ def _slices(batch, column):
 
 
 def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_docs: int) -> DataFrame:
-    """(text, lang) of at most ``train_docs`` labelled documents of each language that may be learned from."""
+    """(text, lang) of about ``train_docs`` labelled documents of each language that may be learned from.
+
+    A document is taken if the hash of its id, as a fraction, is below train_docs over its language's
+    documents; only one count for each language reaches the driver, and no task ranks a whole language.
+    """
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    allowed = docs.filter(F.col(lang_col).isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.md5(key).alias("h"))
-    # Ranks are found on narrow rows, then the texts of the chosen hashes are read.
-    ranked = allowed.select("lang", "h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= train_docs)
-    chosen = ranked.groupBy("lang", "h").agg(F.count(F.lit(1)).alias("copies"))
-    return allowed.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi").select("text", "lang")
+    allowed = docs.filter(F.col(lang_col).isNotNull() & (F.crc32(key.cast("binary")) % 3 != 1))
+    allowed = allowed.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.md5(key).alias("h"))
+    shares = {row["lang"]: train_docs / row["count"] for row in allowed.groupBy("lang").count().collect()}
+    if not shares:
+        return allowed.select("text", "lang")
+    share = F.create_map(*[F.lit(x) for pair in sorted(shares.items()) for x in pair])
+    return allowed.filter(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(2**32) < F.element_at(share, F.col("lang"))).select("text", "lang")
 
 
 def fit(docs: DataFrame, *, id_col="doc_id", text_col="text", lang_col="lang", train_docs=TRAIN_DOCS, path=None):
