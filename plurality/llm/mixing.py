@@ -29,7 +29,7 @@ def source_targets(sized: DataFrame, cycle=CYCLE, epochs: int = EPOCHS, budget:
     Sources by code point, null last, get the weights of ``cycle`` in turn and share the budget (default:
     all sizes). A target stops at ``epochs`` times its source's size and the excess is shared again by
     weight; with sources ordered by cap/weight that has a closed form, which running sums over the source
-    table give: the level at the first source whose share stays under its cap.
+    table give: the level at the first source whose share stays under its cap, from where levels only fall.
     """
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     share = F.lit(float(budget)) if budget is not None else F.sum("source_size").over(Window.partitionBy()).cast("double")
@@ -49,7 +49,7 @@ def source_targets(sized: DataFrame, cycle=CYCLE, epochs: int = EPOCHS, budget:
         rows.withColumn("cap_before", F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, 0)) - F.col("cap"))
         .withColumn("weight_left", F.sum("weight").over(up.rowsBetween(0, Window.unboundedFollowing)))
         .withColumn("level", F.when(level <= F.col("ratio"), level))
-        .withColumn("level", F.min("level").over(Window.partitionBy()))
+        .withColumn("level", F.max("level").over(Window.partitionBy()))
     )
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return rows.select("skey", "source", "n", "source_size", "sid", "weight", F.round(target, 6).alias("target"))
@@ -79,7 +79,7 @@ def fair_queue(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     placed = sized.join(sources.drop("source"), "skey").withColumn("bucket", F.floor(unit * F.ceil(F.sqrt("n"))))
     # Running tokens of each queue: inside a bucket, plus the totals of the buckets before.
     key = ["skey", "bucket"]
-    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*key).orderBy("h", "doc_id", "size").rangeBetween(Window.unboundedPreceding, 0)  # equal rows: one place
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*key).agg(F.sum("size").alias("tokens")).withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens")
     queued = placed.withColumn("own", F.sum("size").over(inside)).join(totals, key).withColumn("upto", F.col("own") + F.col("before"))
@@ -114,7 +114,7 @@ def _cut(entries: DataFrame, sources: DataFrame, budget: float | None):
     if done is None:
         last = entries.agg(F.max("at").alias("at")).first()
         return last["at"]
-    inside = Window.partitionBy("bucket").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
     rows = entries.filter(F.col("bucket") == done["bucket"]).withColumn("run", F.sum("size").over(inside) + F.lit(done["upto"] - done["tokens"]))
     found = rows.filter(F.col("run") <= limit).agg(F.max("at").alias("at")).first()["at"]
     if found is None:
@@ -152,14 +152,14 @@ weighed AS (SELECT *, ((sid - 1) % 3 + 1)::DOUBLE AS weight, (source_size * 3)::
 filled AS (SELECT *, cap / weight AS ratio,
   sum(cap) OVER (ORDER BY cap / weight, sid ROWS UNBOUNDED PRECEDING) - cap AS cap_before,
   sum(weight) OVER (ORDER BY cap / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weight_left FROM weighed),
-levels AS (SELECT *, min(CASE WHEN (whole - cap_before) / weight_left <= ratio THEN (whole - cap_before) / weight_left END) OVER () AS level FROM filled),
+levels AS (SELECT *, max(CASE WHEN (whole - cap_before) / weight_left <= ratio THEN (whole - cap_before) / weight_left END) OVER () AS level FROM filled),
 targets AS (SELECT source, sid, source_size, round(least(cap, coalesce(level * weight, cap)), 6) AS target FROM levels),
 queued AS (SELECT s.doc_id, s.source, s.size, s.h, t.sid, t.source_size, t.target,
-  sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.doc_id, s.size ROWS UNBOUNDED PRECEDING) AS upto
+  sum(s.size) OVER (PARTITION BY t.sid ORDER BY s.h, s.doc_id, s.size RANGE UNBOUNDED PRECEDING) AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 entries AS (SELECT q.*, e.epoch, (upto + e.epoch * source_size)::DOUBLE / target AS finish
   FROM queued q, (VALUES (0), (1), (2)) e(epoch) WHERE size > 0 AND target > 0),
-ordered AS (SELECT *, sum(size) OVER (ORDER BY finish, sid, epoch, h, doc_id, size ROWS UNBOUNDED PRECEDING) AS run FROM entries),
+ordered AS (SELECT *, sum(size) OVER (ORDER BY finish, sid, epoch, h, doc_id, size RANGE UNBOUNDED PRECEDING) AS run FROM entries),
 taken AS (SELECT doc_id, h, sid, size, count(*) AS copies FROM ordered WHERE run <= (SELECT sum(size) FROM sized) GROUP BY ALL)
 """
 

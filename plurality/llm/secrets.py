@@ -206,7 +206,7 @@ def redact_secrets(docs: DataFrame, *, text_col="text", mark=MARK) -> DataFrame:
         starts = F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.length(text)))
         return F.array_join(F.zip_with(ends, starts, lambda e, s: F.substring(text, e + 1, s - e)), mark)
 
-    found = let(all_spans(scan(text), cuts), lambda x: F.when(F.size(x) == 0, text).otherwise(let(merged(x), cut)))
+    found = let(let(scan(text), lambda x: all_spans(x, cuts)), lambda x: F.when(F.size(x) == 0, text).otherwise(let(merged(x), cut)))
     return docs.withColumn(text_col, F.when(text.isNotNull(), found))
 
 
