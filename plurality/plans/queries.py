@@ -1,0 +1,6 @@
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
