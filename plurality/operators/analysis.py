@@ -10,44 +10,55 @@ from pyspark.sql import functions as F
 from plurality.functions import exprs as X
 from plurality.functions import stats as S
 
-H, P, Q = F.col("h"), F.col("p"), F.col("q")
 CELL = ["bucket", "source"]
 
 
+def _h():
+    return F.col("h")
+
+
+def _p():
+    return F.col("p")
+
+
+def _q():
+    return F.col("q")
+
+
 def code_metrics(long: DataFrame) -> DataFrame:
     """Losses of p and of its hard label, and how the uncertainties of p and of the votes rank together."""
-    rho = S.spearman(long.select("code", X.entropy(H).alias("uh"), X.entropy(P).alias("up")), ["code"], "uh", "up")
+    rho = S.spearman(long.select("code", X.entropy(_h()).alias("uh"), X.entropy(_p()).alias("up")), ["code"], "uh", "up")
     rows = long.groupBy("code").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(X.squared(P, H)).alias("squared_loss"),
-        F.avg(X.squared(X.hard(P), H)).alias("hard_squared_loss"),
-        F.avg(X.absolute(P, H)).alias("absolute_loss"),
-        F.avg(X.absolute(X.hard(P), H)).alias("hard_absolute_loss"),
+        F.avg(X.squared(_p(), _h())).alias("squared_loss"),
+        F.avg(X.squared(X.hard(_p()), _h())).alias("hard_squared_loss"),
+        F.avg(X.absolute(_p(), _h())).alias("absolute_loss"),
+        F.avg(X.absolute(X.hard(_p()), _h())).alias("hard_absolute_loss"),
     )
     return rows.join(rho, "code")
 
 
 def loss_deltas(long: DataFrame) -> DataFrame:
     """Hard label minus probability, squared and absolute, with macro rows."""
-    rows = long.groupBy("code").agg(F.avg(X.squared(X.hard(P), H) - X.squared(P, H)).alias("squared_delta"), F.avg(X.absolute(X.hard(P), H) - X.absolute(P, H)).alias("absolute_delta"))
+    rows = long.groupBy("code").agg(F.avg(X.squared(X.hard(_p()), _h()) - X.squared(_p(), _h())).alias("squared_delta"), F.avg(X.absolute(X.hard(_p()), _h()) - X.absolute(_p(), _h())).alias("absolute_delta"))
     return S.with_macro(rows, "code", ["squared_delta", "absolute_delta"])
 
 
 def pairwise_association(long: DataFrame) -> DataFrame:
-    pairs = long.select("code", X.entropy(P).alias("u"), F.round(X.disagreement(H, F.col("n_annotators")), 12).alias("d"))
+    pairs = long.select("code", X.entropy(_p()).alias("u"), F.round(X.disagreement(_h(), F.col("n_annotators")), 12).alias("d"))
     return S.with_macro(S.spearman(pairs, ["code"], "u", "d"), "code", ["rho"])
 
 
 def confidence_association(long: DataFrame) -> DataFrame:
     """One row: rank correlation of an item's mean entropy with its reverse confidence, over items that have one."""
-    items = long.groupBy("item_id", "confidence_mean").agg(F.round(F.avg(X.entropy(P)), 10).alias("u"))
+    items = long.groupBy("item_id", "confidence_mean").agg(F.round(F.avg(X.entropy(_p())), 10).alias("u"))
     items = items.select("u", F.round(1 - F.col("confidence_mean"), 10).alias("doubt"))
     return S.spearman(items, [], "u", "doubt")
 
 
 def cells(long: DataFrame, estimates: dict) -> DataFrame:
     """(bucket, source, code, n, human, and each estimate) in one aggregate."""
-    return long.groupBy(*CELL, "code").agg(F.count(F.lit(1)).alias("n"), F.avg(H).alias("human"), *[F.avg(x).alias(k) for k, x in estimates.items()])
+    return long.groupBy(*CELL, "code").agg(F.count(F.lit(1)).alias("n"), F.avg(_h()).alias("human"), *[F.avg(x).alias(k) for k, x in estimates.items()])
 
 
 def cell_errors(cell_table: DataFrame, estimates) -> DataFrame:
@@ -65,9 +76,9 @@ def clustered_cells(long: DataFrame, least: int) -> DataFrame:
 def item_review(long: DataFrame) -> DataFrame:
     """One row an item: squared errors over all codes and the scores that order its review."""
     return long.groupBy("item_id").agg(
-        F.round(F.sum(X.squared(P, H)), 10).alias("sse"),
-        F.round(F.avg(X.entropy(P)), 10).alias("entropy"),
-        F.round(F.avg(P), 10).alias("mean_p"),
+        F.round(F.sum(X.squared(_p(), _h())), 10).alias("sse"),
+        F.round(F.avg(X.entropy(_p())), 10).alias("entropy"),
+        F.round(F.avg(_p()), 10).alias("mean_p"),
     )
 
 
@@ -86,13 +97,13 @@ def review_curve(items: DataFrame, n_items: int, n_codes: int, score: str, budge
 
 def wording(long: DataFrame) -> DataFrame:
     """Canonical against strict probabilities of the same items, with macro rows."""
-    up, uq, uh = (X.entropy(c).alias(k) for k, c in (("up", P), ("uq", Q), ("uh", H)))
+    up, uq, uh = (X.entropy(c).alias(k) for k, c in (("up", _p()), ("uq", _q()), ("uh", _h())))
     values = long.select("code", "h", "p", "q", up, uq, uh)
     rows = values.groupBy("code").agg(
-        F.avg(F.abs(Q - P)).alias("mean_abs_change"),
-        F.avg((X.hard(P) != X.hard(Q)).cast("double")).alias("flip_rate"),
-        F.avg(X.squared(P, H)).alias("canonical_loss"),
-        F.avg(X.squared(Q, H)).alias("strict_loss"),
+        F.avg(F.abs(_q() - _p())).alias("mean_abs_change"),
+        F.avg((X.hard(_p()) != X.hard(_q())).cast("double")).alias("flip_rate"),
+        F.avg(X.squared(_p(), _h())).alias("canonical_loss"),
+        F.avg(X.squared(_q(), _h())).alias("strict_loss"),
     )
     for x, y, name in (("p", "q", "rho_pq"), ("uh", "up", "rho_p"), ("uh", "uq", "rho_q")):
         rows = rows.join(S.spearman(values, ["code"], x, y, name), "code")
@@ -101,7 +112,7 @@ def wording(long: DataFrame) -> DataFrame:
 
 
 def strict_summary(long: DataFrame) -> DataFrame:
-    rows = long.groupBy("code").agg(F.avg(H).alias("mean_h"), F.avg(P).alias("mean_p"), F.avg(Q).alias("mean_q"), F.avg(P - H).alias("bias_p"), F.avg(Q - H).alias("bias_q"))
+    rows = long.groupBy("code").agg(F.avg(_h()).alias("mean_h"), F.avg(_p()).alias("mean_p"), F.avg(_q()).alias("mean_q"), F.avg(_p() - _h()).alias("bias_p"), F.avg(_q() - _h()).alias("bias_q"))
     rows = rows.join(S.spearman(long, ["code"], "p", "q"), "code")
     return S.with_macro(rows, "code", [c for c in rows.columns if c != "code"])
 
@@ -109,47 +120,48 @@ def strict_summary(long: DataFrame) -> DataFrame:
 def calibration(dev: DataFrame) -> DataFrame:
     """Per code: line of h on p weighted by annotators, and two constants (plain and coder-weighted prevalence)."""
     line = S.weighted_line(dev, ["code"], "p", "h", "n_annotators")
-    means = dev.groupBy("code").agg(F.avg(H).alias("constant"), S.weighted_mean(H, F.col("n_annotators")).alias("coder_constant"))
+    means = dev.groupBy("code").agg(F.avg(_h()).alias("constant"), S.weighted_mean(_h(), F.col("n_annotators")).alias("coder_constant"))
     return line.join(means, "code")
 
 
 def calibrate(long: DataFrame, fitted: DataFrame) -> DataFrame:
     """Adds ``calibrated`` (clipped to [0, 1]) and ``constant``; ``fitted`` has one row a code."""
     own = long.join(fitted.select("code", "intercept", "slope", "constant"), "code")
-    return own.withColumn("calibrated", X.unit_clip(F.col("intercept") + F.col("slope") * P)).drop("intercept", "slope")
+    return own.withColumn("calibrated", X.unit_clip(F.col("intercept") + F.col("slope") * _p())).drop("intercept", "slope")
 
 
-METHODS = {"raw": P, "hard": X.hard(P), "constant": F.col("constant"), "calibrated": F.col("calibrated")}
+def methods() -> dict:
+    return {"raw": _p(), "hard": X.hard(_p()), "constant": F.col("constant"), "calibrated": F.col("calibrated")}
 
 
 def compare_methods(calibrated: DataFrame) -> DataFrame:
     """(method, code, losses, bias, two cell errors), with macro rows; methods as rows, one aggregate each."""
-    rows = F.array(*[F.struct(F.lit(k).alias("method"), x.alias("e")) for k, x in METHODS.items()])
+    rows = F.array(*[F.struct(F.lit(k).alias("method"), x.alias("e")) for k, x in methods().items()])
     flat = calibrated.select(*CELL, "code", "h", F.inline(rows))
     e = F.col("e")
-    losses = flat.groupBy("method", "code").agg(F.avg(X.squared(e, H)).alias("squared_loss"), F.avg(X.absolute(e, H)).alias("absolute_loss"), F.avg(e - H).alias("signed_bias"))
-    by_cell = flat.groupBy("method", "code", *CELL).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(e) - F.avg(H)).alias("error"))
+    losses = flat.groupBy("method", "code").agg(F.avg(X.squared(e, _h())).alias("squared_loss"), F.avg(X.absolute(e, _h())).alias("absolute_loss"), F.avg(e - _h()).alias("signed_bias"))
+    by_cell = flat.groupBy("method", "code", *CELL).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg(e) - F.avg(_h())).alias("error"))
     errors = by_cell.groupBy("method", "code").agg(F.avg("error").alias("cell_mae"), S.weighted_mean(F.col("error"), F.col("n")).alias("cell_mae_weighted"))
     return S.with_macro(losses.join(errors, ["method", "code"]), "code", ["squared_loss", "absolute_loss", "signed_bias", "cell_mae", "cell_mae_weighted"], by=["method"])
 
 
 def marginal_calibration(split: DataFrame) -> DataFrame:
     return split.groupBy("split", "code").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(H).alias("mean_h"), F.avg(P).alias("mean_p"), F.avg(P - H).alias("signed_bias"),
-        F.avg(X.squared(P, H)).alias("squared_loss"), F.avg(X.absolute(P, H)).alias("absolute_loss"), F.stddev_pop(P).alias("sharpness"), F.avg(X.entropy(P)).alias("mean_entropy"),
+        F.count(F.lit(1)).alias("n"), F.avg(_h()).alias("mean_h"), F.avg(_p()).alias("mean_p"), F.avg(_p() - _h()).alias("signed_bias"),
+        F.avg(X.squared(_p(), _h())).alias("squared_loss"), F.avg(X.absolute(_p(), _h())).alias("absolute_loss"), F.stddev_pop(_p()).alias("sharpness"), F.avg(X.entropy(_p())).alias("mean_entropy"),
     )
 
 
 def reliability_bins(long: DataFrame, keys, bins: int = 10) -> DataFrame:
     binned = S.equal_frequency_bins(long, list(keys), "p", "item_id", bins)
-    return binned.groupBy(*keys, "bin").agg(F.avg(P).alias("mean_p"), F.avg(H).alias("mean_h"), F.count(F.lit(1)).alias("n"))
+    return binned.groupBy(*keys, "bin").agg(F.avg(_p()).alias("mean_p"), F.avg(_h()).alias("mean_h"), F.count(F.lit(1)).alias("n"))
 
 
 def disagreement_detection(long: DataFrame) -> DataFrame:
-    mixed = (H > 0) & (H < 1)
-    flagged = long.select("code", "p", mixed.alias("mixed"), X.entropy(P).alias("u"))
+    mixed = (_h() > 0) & (_h() < 1)
+    flagged = long.select("code", "p", mixed.alias("mixed"), X.entropy(_p()).alias("u"))
     rows = long.groupBy("code").agg(
-        F.avg(mixed.cast("double")).alias("prevalence"), F.avg(F.when(H == 0, P)).alias("p_at_zero"), F.avg(F.when(mixed, P)).alias("p_at_mixed"), F.avg(F.when(H == 1, P)).alias("p_at_one")
+        F.avg(mixed.cast("double")).alias("prevalence"), F.avg(F.when(_h() == 0, _p())).alias("p_at_zero"), F.avg(F.when(mixed, _p())).alias("p_at_mixed"), F.avg(F.when(_h() == 1, _p())).alias("p_at_one")
     )
     return rows.join(S.auc(flagged, ["code"], "mixed", "u", "auc_entropy"), "code").join(S.auc(flagged, ["code"], "mixed", "p", "auc_p"), "code")
 
@@ -161,12 +173,12 @@ def review_cases(long: DataFrame) -> DataFrame:
     """
     far = lambda x: F.round(F.abs(x - 0.5), 12)
     lists = [
-        ("closest", F.lit(True), far(P), 3),
-        ("positive_disagreement", (P > 0.5) & (H < 0.5), -far(P), 3),
-        ("negative_disagreement", (P < 0.5) & (H > 0.5), -far(P), 3),
-        ("low", H < 0.5, H, 1),
-        ("mixed", (H > 0) & (H < 1), far(H), 1),
-        ("high", H > 0.5, -H, 1),
+        ("closest", F.lit(True), far(_p()), 3),
+        ("positive_disagreement", (_p() > 0.5) & (_h() < 0.5), -far(_p()), 3),
+        ("negative_disagreement", (_p() < 0.5) & (_h() > 0.5), -far(_p()), 3),
+        ("low", _h() < 0.5, _h(), 1),
+        ("mixed", (_h() > 0) & (_h() < 1), far(_h()), 1),
+        ("high", _h() > 0.5, -_h(), 1),
     ]
     out, most = [], sum(n for *_, n in lists)
     for section, where, order, n in lists:
@@ -190,11 +202,11 @@ def _top(rows: DataFrame, n: int, *keep: str) -> DataFrame:
 
 def brier_identity(long: DataFrame) -> DataFrame:
     """Hard-minus-soft loss to the share, and to single votes: the same number two ways."""
-    n1, n0 = F.col("n_votes") * H, F.col("n_votes") * (1 - H)
+    n1, n0 = F.col("n_votes") * _h(), F.col("n_votes") * (1 - _h())
     brier = lambda s: (n1 * (1 - s) * (1 - s) + n0 * s * s) / F.col("n_votes")
     return long.groupBy("code").agg(
-        F.avg(X.squared(X.hard(P), H) - X.squared(P, H)).alias("share_delta"), F.avg(brier(X.hard(P)) - brier(P)).alias("vote_delta"),
-        S.weighted_mean(X.coder_loss(P, H), F.col("n_votes")).alias("coder_loss"), F.avg((n1 * (1 - P) + n0 * P) / F.col("n_votes")).alias("vote_absolute"),
+        F.avg(X.squared(X.hard(_p()), _h()) - X.squared(_p(), _h())).alias("share_delta"), F.avg(brier(X.hard(_p())) - brier(_p())).alias("vote_delta"),
+        S.weighted_mean(X.coder_loss(_p(), _h()), F.col("n_votes")).alias("coder_loss"), F.avg((n1 * (1 - _p()) + n0 * _p()) / F.col("n_votes")).alias("vote_absolute"),
     )
 
 

@@ -1,6 +1,571 @@
+"""Registered queries over the driver's tables; ``plurality.plans.oracles`` has their independent SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from plurality.functions import exprs as X
+from plurality.functions import stats as S
+from plurality.operators import analysis as A
+from plurality.operators import cleaning as C
+from plurality.operators import constraints as K
+from plurality.operators import inference as I
+from plurality.operators import resample as B
+from plurality.operators import scores as L
+from plurality.operators import split as G
+from plurality.plans import oracles
+from plurality.plans.panel import CODES, document_items, order_votes, table
+
+DEV, SENSITIVITY, REPS, BUDGETS = 100, 100, 20, (0, 5, 10, 20, 30)
+QUERIES: dict = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to six places: sums of doubles depend on the order of their rows."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
+
+
+def deduped(spark, sf_dir):
+    return C.semantic_dedupe(order_votes(spark, sf_dir))
+
+
+def kept(spark, sf_dir):
+    return C.retained_votes(deduped(spark, sf_dir))
+
+
+def all_items(spark, sf_dir):
+    return C.vote_shares(kept(spark, sf_dir), CODES)
+
+
+def items(spark, sf_dir):
+    return C.eligible(all_items(spark, sf_dir))
+
+
+def wide(spark, sf_dir):
+    """Items with their stand-in probabilities: computed beside the shares, so nothing is joined."""
+    return items(spark, sf_dir).select("*", *L.prediction_columns(CODES))
+
+
+def long(spark, sf_dir):
+    return L.long_scores(wide(spark, sf_dir), CODES)
+
+
+def split_long(spark, sf_dir):
+    return L.long_scores(wide(spark, sf_dir), CODES).join(G.assign(items(spark, sf_dir).select("item_id", "text"), DEV, SENSITIVITY).select("item_id", "split", "sensitivity"), "item_id")
+
+
+def part(spark, sf_dir, split):
+    return split_long(spark, sf_dir).filter(F.col("split") == split)
+
+
+# Clean-up
+
+
+@query
+def uncertainty_validity(spark, sf_dir):
+    return rounded(A.code_metrics(long(spark, sf_dir)).select("code", "n", "rho", "squared_loss", "hard_squared_loss"))
+
+
+@query
+def exact_dedup_counts(spark, sf_dir):
+    raw = order_votes(spark, sf_dir)
+    a, b = raw.agg(F.count(F.lit(1)).alias("raw_rows")), C.exact_dedupe(raw).agg(F.count(F.lit(1)).alias("distinct_rows"))
+    return a.withColumn("k", F.lit(1)).join(b.withColumn("k", F.lit(1)), "k").drop("k")
+
+
+@query
+def semantic_dedup(spark, sf_dir):
+    return deduped(spark, sf_dir).groupBy("bucket", "source").agg(F.count(F.lit(1)).alias("votes"), F.countDistinct("text").alias("texts"))
+
+
+@query
+def conflict_items(spark, sf_dir):
+    return C.conflicted_items(deduped(spark, sf_dir))
+
+
+@query
+def conflict_pairs(spark, sf_dir):
+    return C.conflicting_pairs(deduped(spark, sf_dir))
+
+
+@query
+def retained_votes(spark, sf_dir):
+    return kept(spark, sf_dir).groupBy("labels", "confidence").agg(F.count(F.lit(1)).alias("votes"))
+
+
+@query
+def vote_shares(spark, sf_dir):
+    return rounded(all_items(spark, sf_dir).select("item_id", "n_annotators", "n_votes", "confidence_mean", *[f"human_{c}" for c in CODES]))
+
+
+@query
+def eligible_items(spark, sf_dir):
+    return items(spark, sf_dir).groupBy("bucket", "source").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def excluded_items(spark, sf_dir):
+    few = all_items(spark, sf_dir).filter("n_annotators < 3").select("item_id", F.lit("few annotators").alias("reason"))
+    own = C.conflicted_items(deduped(spark, sf_dir))
+    return few.unionByName(own.select(X.item_id(*[F.col(c) for c in C.ITEM]).alias("item_id"), F.lit("conflict").alias("reason")))
+
+
+@query
+def annotator_histogram(spark, sf_dir):
+    return all_items(spark, sf_dir).groupBy("n_annotators").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def half_ties(spark, sf_dir):
+    return long(spark, sf_dir).groupBy("code", X.majority(F.col("h")).alias("side")).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col("h") == 0.5).alias("at_half"))
+
+
+@query
+def audit_summary(spark, sf_dir):
+    return C.audit(order_votes(spark, sf_dir), CODES)
+
+
+@query
+def source_cells(spark, sf_dir):
+    names = items(spark, sf_dir).select(X.cell_name(F.col("bucket"), F.col("source")).alias("cell")).distinct()
+    return names.agg(F.count(F.lit(1)).alias("cells"), F.concat_ws("|", F.array_sort(F.collect_set("cell"))).alias("names"))
+
+
+@query
+def atomic_labels(spark, sf_dir):
+    return deduped(spark, sf_dir).select(F.explode(F.split("labels", ",")).alias("label"), F.struct("bucket", "source", "text").alias("i")).groupBy("label").agg(F.count(F.lit(1)).alias("votes"), F.countDistinct("i").alias("items"))
+
+
+@query
+def confidence_levels(spark, sf_dir):
+    votes = deduped(spark, sf_dir)
+    return rounded(votes.groupBy("confidence").agg(F.count(F.lit(1)).alias("votes"), F.avg(X.confidence_value(F.col("confidence"))).alias("value")))
+
+
+@query
+def unknown_labels(spark, sf_dir):
+    labels = deduped(spark, sf_dir).select(F.explode(F.split("labels", ",")).alias("label"))
+    return K.unknown_values(labels, "label", ["A", "N", "F", "O", "BULK"])
+
+
+# Identities and splits
+
+
+@query
+def item_ids(spark, sf_dir):
+    d = document_items(spark, sf_dir)
+    return d.select(X.item_id(F.col("bucket"), F.col("source"), F.col("doc_id").cast("string")).alias("item_id"))
+
+
+@query
+def content_ids(spark, sf_dir):
+    return document_items(spark, sf_dir).groupBy("content_id").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def label_signatures(spark, sf_dir):
+    return order_votes(spark, sf_dir).groupBy(X.label_signature(F.col("annotation")).alias("signature"), X.label_signature(X.strip(F.concat(F.lit("\t "), F.col("annotation"), F.lit(" ,,")))).alias("again")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def grouped_split(spark, sf_dir):
+    chosen = G.select_groups(document_items(spark, sf_dir), 100)
+    return chosen.select(X.content_id(F.col("text")).alias("content_id"), "size", F.col("taken_before").cast("bigint").alias("taken_before"))
+
+
+@query
+def sensitivity_subset(spark, sf_dir):
+    own = G.assign(document_items(spark, sf_dir), 100, 50)
+    return own.groupBy("split", "sensitivity").agg(F.count(F.lit(1)).alias("documents"), F.countDistinct("content_id").alias("texts"))
+
+
+@query
+def leak_check(spark, sf_dir):
+    return G.leaks(G.assign(document_items(spark, sf_dir), 100, 50)).select("text", "splits")
+
+
+@query
+def cross_source_texts(spark, sf_dir):
+    cells = document_items(spark, sf_dir).select("content_id", "bucket", "source").distinct()
+    return cells.groupBy("content_id").agg(F.count(F.lit(1)).alias("cells")).filter("cells > 1")
+
+
+@query
+def hash_threshold_split(spark, sf_dir):
+    return G.hash_threshold(document_items(spark, sf_dir), 0.1, "next:").groupBy("split").agg(F.count(F.lit(1)).alias("documents"))
+
+
+# Shapes and joins
+
+
+@query
+def long_scores(spark, sf_dir):
+    return rounded(long(spark, sf_dir).select("item_id", "code", "h", "p", "q"))
+
+
+@query
+def wide_scores(spark, sf_dir):
+    return rounded(L.wide_scores(long(spark, sf_dir), CODES))
+
+
+@query
+def prediction_join(spark, sf_dir):
+    own = items(spark, sf_dir)
+    joined = L.join_predictions(own, L.predictions(own, CODES))
+    return rounded(L.long_scores(joined, CODES).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("h").alias("mean_h")))
+
+
+@query
+def prediction_completeness(spark, sf_dir):
+    own = items(spark, sf_dir)
+    some = L.predictions(own, CODES).filter(F.substring("item_id", 1, 1) != "0")
+    return K.unmatched(own, some, "item_id").select("item_id", "n_annotators")
+
+
+@query
+def key_disjointness(spark, sf_dir):
+    split = G.assign(items(spark, sf_dir), DEV, SENSITIVITY)
+    return K.shared_keys(split.filter("split = 'dev'"), split.filter("split = 'test'"), ["item_id"])
+
+
+@query
+def cell_joins(spark, sf_dir):
+    """Three cell tables joined on their three-column key; the wide aggregate gives the same."""
+    rows = long(spark, sf_dir)
+    key = ["bucket", "source", "code"]
+    human, soft, hard = (rows.groupBy(*key).agg(F.avg(e).alias(n)) for n, e in (("human", F.col("h")), ("soft", F.col("p")), ("hard", X.hard(F.col("p")))))
+    return rounded(human.join(soft, key).join(hard, key))
+
+
+# Uncertainty and loss
+
+
+@query
+def foundation_metrics(spark, sf_dir):
+    return rounded(S.with_macro(A.code_metrics(part(spark, sf_dir, "test")), "code", ["squared_loss", "hard_squared_loss", "absolute_loss", "hard_absolute_loss", "rho"]))
+
+
+@query
+def loss_deltas(spark, sf_dir):
+    return rounded(A.loss_deltas(part(spark, sf_dir, "test")))
+
+
+@query
+def pairwise_disagreement_rho(spark, sf_dir):
+    return rounded(A.pairwise_association(part(spark, sf_dir, "test")))
+
+
+@query
+def confidence_vs_uncertainty(spark, sf_dir):
+    return rounded(A.confidence_association(part(spark, sf_dir, "test")))
+
+
+@query
+def brier_identity(spark, sf_dir):
+    return rounded(A.brier_identity(long(spark, sf_dir)))
+
+
+# Review and recovery
+
+
+def review_items(spark, sf_dir):
+    return A.item_review(part(spark, sf_dir, "test"))
+
+
+@query
+def triage_targeted(spark, sf_dir):
+    own = review_items(spark, sf_dir)
+    return rounded(A.review_curve(own, own.count(), len(CODES), "entropy", BUDGETS))
+
+
+@query
+def triage_methods(spark, sf_dir):
+    own = review_items(spark, sf_dir)
+    n = own.count()
+    return rounded(A.union_all([A.review_curve(own, n, len(CODES), s, BUDGETS).withColumn("method", F.lit(s)) for s in ("entropy", "mean_p", "sse")]))
+
+
+@query
+def triage_random(spark, sf_dir):
+    own = review_items(spark, sf_dir)
+    n = own.count()
+    spread = B.random_review(own, REPS)
+    ranked = S.global_rank(spread.select("rep", "sse", F.col("key").alias("item_id")), None, "item_id", keys=["rep"])
+    ks = {b: round(n * b / 100) for b in BUDGETS}
+    left = ranked.groupBy("rep").agg(*[(F.sum(F.when(F.col("rank") > k, F.col("sse")).otherwise(0.0)) / (n * len(CODES))).alias(f"b{b}") for b, k in ks.items()])
+    flat = left.select(F.inline(F.array(*[F.struct(F.lit(b).alias("budget"), F.col(f"b{b}").alias("mse")) for b in ks])))
+    return rounded(flat.groupBy("budget").agg(F.avg("mse").alias("mse_mean"), *S.interval("mse")))
+
+
+def reviewed_long(spark, sf_dir):
+    """Test scores with the rank of their item in the targeted review."""
+    rows = part(spark, sf_dir, "test")
+    ranked = S.global_rank(A.item_review(rows), "entropy", "item_id", descending=True).select("item_id", "rank")
+    return rows.join(ranked, "item_id"), ranked.count()
+
+
+def recovery(spark, sf_dir):
+    rows, n = reviewed_long(spark, sf_dir)
+    targeted = {f"targeted_{b}": F.when(F.col("rank") <= round(n * b / 100), F.col("h")).otherwise(F.col("p")) for b in BUDGETS if b}
+    return A.cells(rows, {"soft": F.col("p"), "hard": X.hard(F.col("p")), **targeted})
+
+
+@query
+def cell_recovery(spark, sf_dir):
+    return rounded(recovery(spark, sf_dir))
+
+
+@query
+def cell_recovery_summary(spark, sf_dir):
+    own = recovery(spark, sf_dir)
+    return rounded(A.cell_errors(own, [c for c in own.columns if c not in ("bucket", "source", "code", "n", "human")]))
+
+
+@query
+def random_cell_recovery(spark, sf_dir):
+    """Mean over repetitions of the cell errors of a random review of a fifth of the items."""
+    rows = part(spark, sf_dir, "test").select("item_id", "bucket", "source", "code", "h", "p")
+    spread = B.random_review(rows.select("item_id", F.lit(0.0).alias("sse")).distinct(), REPS)
+    n = spread.select("item_id").distinct().count()
+    ranked = S.global_rank(spread.select("rep", F.col("item_id").alias("id"), F.col("key").alias("item_id")), None, "item_id", keys=["rep"])
+    chosen = ranked.select("rep", F.col("id").alias("item_id"), (F.col("rank") <= round(n * 0.2)).alias("seen"))
+    est = rows.join(chosen, "item_id").groupBy("rep", "bucket", "source", "code").agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("human"), F.avg(F.when(F.col("seen"), F.col("h")).otherwise(F.col("p"))).alias("e"))
+    errors = est.groupBy("rep").agg(F.avg(F.abs(F.col("e") - F.col("human"))).alias("a"), S.weighted_mean(F.abs(F.col("e") - F.col("human")), F.col("n")).alias("w"))
+    return rounded(errors.agg(F.avg("a").alias("mae_unweighted"), F.avg("w").alias("mae_weighted")))
+
+
+@query
+def cell_min_clusters(spark, sf_dir):
+    return A.clustered_cells(long(spark, sf_dir), 40)
+
+
+# Wording and calibration
+
+
+@query
+def wording_sensitivity(spark, sf_dir):
+    return rounded(A.wording(split_long(spark, sf_dir).filter("sensitivity")))
+
+
+@query
+def strict_sensitivity_summary(spark, sf_dir):
+    return rounded(A.strict_summary(split_long(spark, sf_dir).filter("sensitivity")))
+
+
+@query
+def calibration_fit(spark, sf_dir):
+    return rounded(A.calibration(part(spark, sf_dir, "dev")).select("code", "n", "weight_sum", "intercept", "slope", "constant"))
+
+
+def calibrated(spark, sf_dir):
+    return A.calibrate(part(spark, sf_dir, "test"), A.calibration(part(spark, sf_dir, "dev")))
+
+
+@query
+def calibration_apply(spark, sf_dir):
+    return rounded(calibrated(spark, sf_dir).select("item_id", "code", F.round("calibrated", 4).alias("calibrated")))
+
+
+@query
+def method_comparison(spark, sf_dir):
+    return rounded(A.compare_methods(calibrated(spark, sf_dir)))
+
+
+@query
+def prevalence_baselines(spark, sf_dir):
+    return rounded(A.calibration(part(spark, sf_dir, "dev")).select("code", "constant", "coder_constant"))
+
+
+@query
+def marginal_calibration(spark, sf_dir):
+    return rounded(A.marginal_calibration(split_long(spark, sf_dir)))
+
+
+@query
+def reliability_bins(spark, sf_dir):
+    return rounded(A.reliability_bins(part(spark, sf_dir, "test"), ["code"]))
+
+
+@query
+def disagreement_auc(spark, sf_dir):
+    return rounded(A.disagreement_detection(part(spark, sf_dir, "test")))
+
+
+def labelled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang")
+    return table(spark, sf_dir, "labels").join(docs, "doc_id").withColumn("score", F.col("n_chars").cast("double"))
+
+
+@query
+def quality_toxicity_auc(spark, sf_dir):
+    rows = labelled(spark, sf_dir)
+    return rounded(A.union_all([S.auc(rows, ["lang"], t, "score").withColumn("target", F.lit(t)) for t in ("quality", "toxic")]))
+
+
+@query
+def labels_reliability(spark, sf_dir):
+    rows = labelled(spark, sf_dir).select(F.lit("all").alias("code"), F.col("score").alias("p"), F.col("quality").cast("double").alias("h"), F.lpad(F.hex("doc_id"), 16, "0").alias("item_id"))
+    return rounded(A.reliability_bins(rows, ["code"], 7))
+
+
+# Resampling
+
+
+@query
+def bootstrap_loss_ci(spark, sf_dir):
+    rows = part(spark, sf_dir, "test").select("item_id", "code", (X.squared(X.hard(F.col("p")), F.col("h")) - X.squared(F.col("p"), F.col("h"))).alias("squared_delta"), (X.absolute(X.hard(F.col("p")), F.col("h")) - X.absolute(F.col("p"), F.col("h"))).alias("absolute_delta"))
+    return rounded(B.bootstrap_means(rows, ["squared_delta", "absolute_delta"], REPS))
+
+
+@query
+def bootstrap_spearman_ci(spark, sf_dir):
+    rows = part(spark, sf_dir, "test").select("item_id", "code", X.entropy(F.col("h")).alias("uh"), X.entropy(F.col("p")).alias("up"))
+    return rounded(B.bootstrap_spearman(rows, "uh", "up", REPS))
+
+
+@query
+def paired_bootstrap(spark, sf_dir):
+    rows, own = calibrated(spark, sf_dir), F.col("calibrated")
+    h, columns = F.col("h"), []
+    for name in ("raw", "hard", "constant"):
+        other = A.methods()[name]
+        columns += [(X.squared(own, h) - X.squared(other, h)).alias(f"squared_{name}"), (X.absolute(own, h) - X.absolute(other, h)).alias(f"absolute_{name}"), (own - other).alias(f"bias_{name}")]
+    values = [f"{m}_{n}" for n in ("raw", "hard", "constant") for m in ("squared", "absolute", "bias")]
+    return rounded(B.bootstrap_means(rows.select("item_id", "code", *columns), values, REPS))
+
+
+@query
+def strict_bootstrap(spark, sf_dir):
+    h, p, q = F.col("h"), F.col("p"), F.col("q")
+    rows = split_long(spark, sf_dir).filter("sensitivity").select("item_id", "code", (X.squared(q, h) - X.squared(p, h)).alias("squared_delta"), (X.absolute(q, h) - X.absolute(p, h)).alias("absolute_delta"), (p - h).alias("bp"), (q - h).alias("bq"))
+    size = lambda df: df.withColumn("bias_size", F.abs("bq") - F.abs("bp")).drop("bp", "bq")
+    return rounded(B.bootstrap_means(rows, ["squared_delta", "absolute_delta", "bp", "bq"], REPS, after=size))
+
+
+@query
+def cluster_bootstrap(spark, sf_dir):
+    rows = table(spark, sf_dir, "labels").join(document_items(spark, sf_dir), "doc_id").select("content_id", "quality")
+    return rounded(B.cluster_bootstrap(rows, "content_id", "quality", REPS))
+
+
+@query
+def review_cases(spark, sf_dir):
+    return A.review_cases(part(spark, sf_dir, "dev")).withColumn("place", F.col("place").cast("bigint"))
+
+
+# Jobs and their cache
+
+
+def jobs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    return turns.select(
+        F.lit("e1").alias("experiment"), F.lit("offline").alias("provider"), F.concat_ws(":", "conv_id", "turn").alias("item_id"),
+        F.when(F.col("role") == "assistant", "strict").otherwise("canonical").alias("variant"), F.lit("h1").alias("prompt_hash"), F.lit("m1").alias("model"),
+        F.sha2("text", 256).alias("state"), "text",
+    )
+
+
+def cache(spark, sf_dir):
+    done = jobs(spark, sf_dir).filter(X.hash_int(F.concat(F.lit("done:"), F.col("item_id"))) % 3 != 0)
+    returned = F.when(X.hash_int(F.concat(F.lit("drift:"), F.col("item_id"))) % 50 == 0, "m2").otherwise("m1")
+    answer = F.struct(returned.alias("model"), F.create_map(F.lit("A"), F.struct(F.lit("p").alias("type"), ((F.length("text") % 101) / 100).alias("noul"))).alias("answers"), F.struct(F.length("text").cast("bigint").alias("input_tokens"), F.lit(7).cast("bigint").alias("output_tokens")).alias("usage"))
+    return done.withColumn("response", F.to_json(answer)).drop("text")
+
+
+@query
+def pending_jobs(spark, sf_dir):
+    return I.pending(jobs(spark, sf_dir), cache(spark, sf_dir)).groupBy("variant").agg(F.count(F.lit(1)).alias("jobs"), F.min("item_id").alias("first_item"))
+
+
+@query
+def next_jobs(spark, sf_dir):
+    """The call budget: the first 25 pending jobs."""
+    return I.pending(jobs(spark, sf_dir), cache(spark, sf_dir), most=25).select("item_id", "variant")
+
+
+@query
+def completed_jobs(spark, sf_dir):
+    return I.completed(jobs(spark, sf_dir), cache(spark, sf_dir)).groupBy("variant").agg(F.count(F.lit(1)).alias("jobs"))
+
+
+@query
+def response_records(spark, sf_dir):
+    return rounded(I.flatten(cache(spark, sf_dir), ["A"]).groupBy("returned_model", "consistent").agg(F.count(F.lit(1)).alias("calls"), F.avg("p_A").alias("mean_p"), F.sum("input_tokens").alias("tokens")))
+
+
+@query
+def usage_rollup(spark, sf_dir):
+    return I.usage(I.flatten(cache(spark, sf_dir), ["A"]))
+
+
+@query
+def model_drift(spark, sf_dir):
+    return I.drifted(I.flatten(cache(spark, sf_dir), ["A"]), "m1")
+
+
+@query
+def payload_flatten(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(k).alias("k_sum"), F.max(k).alias("k_max"))
+
+
+@query
+def evidence_fingerprint(spark, sf_dir):
+    return I.evidence_fingerprint(jobs(spark, sf_dir), ["item_id", "variant", "state"], "item_id")
+
+
+# Constraints and functions
+
+
+@query
+def range_violations(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity")
+    bad = K.out_of_range(lines, ["l_discount", "l_quantity"])
+    return bad.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~X.is_whole(F.col("l_quantity"))).alias("fractional"))
+
+
+@query
+def constant_columns(spark, sf_dir):
+    t = table(spark, sf_dir, "orders")
+    return A.union_all([K.several_values(t, c).select(F.lit(c).alias("column"), "values") for c in ("o_orderstatus", "o_orderpriority")])
+
+
+@query
+def duplicate_keys(spark, sf_dir):
+    return K.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query
+def blank_identity(spark, sf_dir):
+    return K.blank_rows(order_votes(spark, sf_dir), ["confidence"]).groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def vocabulary_difference(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return K.symmetric_difference(docs.filter("lang = 'en'").select("source"), docs.filter("lang = 'es'").select("source"))
+
+
+@query
+def scalar_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    first = F.substring("text", 1, 60)
+    return d.select(
+        "doc_id", X.one_line(first).alias("line"), X.number_text(F.col("n_chars") / 7, 3).alias("number"), F.initcap(F.lower(F.col("lang"))).alias("title"),
+        F.bround(F.col("n_chars") / 10).cast("bigint").alias("half_even"), X.as_bool(F.when(F.col("n_chars") % 2 == 0, " TRUE ").otherwise("no")).alias("flag"),
+        F.array_join(X.name_parts(F.lit("Source-Cell Name_2")), "+").alias("parts"),
+    )
+
+
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return {k: v for k, v in oracles.SQL.items() if k in QUERIES}
