@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, html_text, language, lattice, line_quality, mixing, secrets, simhash, suffix_dedup
+from plurality.llm import bpe, html_text, language, lattice, line_quality, mixing, quotes, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op10_suffix_family": suffix_dedup.op10_suffix_family,
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
+        "op2_quotation_linking": quotes.op2_quotation_linking,
         "op3_e8_lattice": lattice.op3_e8_lattice,
         "op4_duckdb_bpe": bpe.op4_duckdb_bpe,
         "op5_segmentation_language": language.op5_segmentation_language,
