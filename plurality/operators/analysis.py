@@ -105,8 +105,10 @@ def wording(long: DataFrame) -> DataFrame:
         F.avg(X.squared(_p(), _h())).alias("canonical_loss"),
         F.avg(X.squared(_q(), _h())).alias("strict_loss"),
     )
-    for x, y, name in (("p", "q", "rho_pq"), ("uh", "up", "rho_p"), ("uh", "uq", "rho_q")):
-        rows = rows.join(S.spearman(values, ["code"], x, y, name), "code")
+    # The three correlations are one computation over (code, pair).
+    named = {"rho_pq": ("p", "q"), "rho_p": ("uh", "up"), "rho_q": ("uh", "uq")}
+    pairs = values.select("code", F.inline(F.array(*[F.struct(F.lit(k).alias("pair"), F.col(x).alias("x"), F.col(y).alias("y")) for k, (x, y) in named.items()])))
+    rows = rows.join(S.spearman(pairs, ["code", "pair"], "x", "y").groupBy("code").pivot("pair", list(named)).agg(F.first("rho")), "code")
     rows = rows.withColumn("loss_delta", F.col("strict_loss") - F.col("canonical_loss")).withColumn("rho_delta", F.col("rho_q") - F.col("rho_p"))
     return S.with_macro(rows, "code", [c for c in rows.columns if c != "code"])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,12 +53,19 @@ def wide(spark, sf_dir):
     return items(spark, sf_dir).select("*", *L.prediction_columns(CODES))
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Kept for the several branches of a query that read it; what is lost with an executor is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def long(spark, sf_dir):
-    return L.long_scores(wide(spark, sf_dir), CODES)
+    return shared(L.long_scores(wide(spark, sf_dir), CODES))
 
 
 def split_long(spark, sf_dir):
-    return L.long_scores(wide(spark, sf_dir), CODES).join(G.assign(items(spark, sf_dir).select("item_id", "text"), DEV, SENSITIVITY).select("item_id", "split", "sensitivity"), "item_id")
+    own = wide(spark, sf_dir)
+    split = G.assign(shared(own).select("item_id", "text"), DEV, SENSITIVITY).select("item_id", "split", "sensitivity")
+    return shared(L.long_scores(own, CODES).join(split, "item_id"))
 
 
 def part(spark, sf_dir, split):
