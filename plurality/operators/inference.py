@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEY = ["experiment", "provider", "item_id", "variant", "prompt_hash", "model", "state"]
 RESPONSE = "model string, answers map<string, struct<type: string, noul: double>>, usage struct<input_tokens: bigint, output_tokens: bigint>"
@@ -38,8 +39,7 @@ def call(jobs: DataFrame, make: Callable[[], Predictor]) -> DataFrame:
             rows["response"] = predictor(rows["text"].tolist(), rows["variant"].tolist())
             yield rows
 
-    schema = jobs.schema.add("response", "string")
-    return jobs.mapInPandas(run, schema)
+    return jobs.mapInPandas(run, T.StructType([*jobs.schema.fields, T.StructField("response", T.StringType())]))
 
 
 def append_calls(answered: DataFrame, path: str) -> None:
