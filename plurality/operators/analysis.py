@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.functions import exprs as X
@@ -171,7 +171,8 @@ def disagreement_detection(long: DataFrame) -> DataFrame:
 def review_cases(long: DataFrame) -> DataFrame:
     """(code, section, place, item_id): six ordered lists, each without the items of those before it.
 
-    All codes at once. A list is ranked in two steps, so its top rows come from tops of buckets of items.
+    Each list needs no more of its rows than all lists have places, so a code comes down to six short tops,
+    found in two steps (in buckets of items, then over their tops); one fold over them deals the places.
     """
     far = lambda x: F.round(F.abs(x - 0.5), 12)
     lists = [
@@ -182,24 +183,23 @@ def review_cases(long: DataFrame) -> DataFrame:
         ("mixed", (_h() > 0) & (_h() < 1), far(_h()), 1),
         ("high", _h() > 0.5, -_h(), 1),
     ]
-    out, most = [], sum(n for *_, n in lists)
-    for section, where, order, n in lists:
-        # At most the places of all lists can be used before, so that many rows of each list are enough.
-        out.append(_top(long.filter(where).select("code", "item_id", order.cast("double").alias("o")), most).withColumn("section", F.lit(section)))
-    chosen = None
-    for rows, (_, _, _, n) in zip(out, lists, strict=True):
-        free = rows if chosen is None else rows.join(chosen.select("code", "item_id"), ["code", "item_id"], "left_anti")
-        own = _top(free, n, "section").select("code", "section", "place", "item_id")
-        chosen = own if chosen is None else chosen.unionByName(own)
-    return chosen
-
-
-def _top(rows: DataFrame, n: int, *keep: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = lambda *k: Window.partitionBy("code", *k).orderBy("o", "item_id")
-    part = rows.withColumn("_b", F.substring("item_id", 1, 2)).withColumn("place", F.row_number().over(w("_b"))).filter(F.col("place") <= n)
-    return part.withColumn("place", F.row_number().over(w())).filter(F.col("place") <= n).drop("_b")
+    most = sum(n for *_, n in lists)
+    member = F.array(*[F.when(where, F.struct(F.lit(i).alias("list"), order.cast("double").alias("o"))) for i, (_, where, order, _) in enumerate(lists)])
+    rows = long.select("code", "item_id", F.inline(F.filter(member, lambda x: x.isNotNull())))
+    by = lambda *k: Window.partitionBy("code", "list", *k).orderBy("o", "item_id")
+    tops = rows.withColumn("b", F.substring("item_id", 1, 2)).withColumn("r", F.row_number().over(by("b"))).filter(F.col("r") <= most)
+    tops = tops.withColumn("r", F.row_number().over(by())).filter(F.col("r") <= most)
+    quota = F.array(*[F.lit(n) for *_, n in lists])
+
+    def deal(taken, x):
+        place = F.size(F.filter(taken, lambda y: y["list"] == x["list"])) + 1
+        free = ~F.exists(taken, lambda y: y["item_id"] == x["item_id"]) & (place <= F.element_at(quota, x["list"] + 1))
+        return F.when(free, F.concat(taken, F.array(F.struct(x["list"].alias("list"), place.alias("place"), x["item_id"].alias("item_id"))))).otherwise(taken)
+
+    ordered = F.array_sort(F.collect_list(F.struct("list", "r", "item_id")))
+    dealt = tops.groupBy("code").agg(ordered.alias("x")).select("code", F.inline(F.aggregate("x", F.array().cast("array<struct<list:int,place:int,item_id:string>>"), deal)))
+    names = F.array(*[F.lit(k) for k, *_ in lists])
+    return dealt.select("code", F.element_at(names, F.col("list") + 1).alias("section"), F.col("place").cast("bigint").alias("place"), "item_id")
 
 
 def brier_identity(long: DataFrame) -> DataFrame:

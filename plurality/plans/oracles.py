@@ -228,7 +228,7 @@ SQL["labels_reliability"] = q(LABELLED, f"""SELECT 'all' AS code, bin::BIGINT AS
 SQL["bootstrap_loss_ci"] = q(SPLIT + boot_means({"squared_delta": "(hp - h) ** 2 - (p - h) ** 2", "absolute_delta": "abs(hp - h) - abs(p - h)"}, "t"), "")
 SQL["paired_bootstrap"] = q(CALIBRATED + boot_means({f"{m}_{n}": e.format(o=o) for n, o in (("raw", "p"), ("hard", "hp"), ("constant", "constant")) for m, e in (("squared", "(cal - h) ** 2 - ({o} - h) ** 2"), ("absolute", "abs(cal - h) - abs({o} - h)"), ("bias", "cal - {o}"))}, "ct"), "")
 SQL["strict_bootstrap"] = q(SPLIT + boot_means({"squared_delta": "(q - h) ** 2 - (p - h) ** 2", "absolute_delta": "abs(q - h) - abs(p - h)", "bp": "p - h", "bq": "q - h"}, "s",
-    {"squared_delta": "v_squared_delta", "absolute_delta": "v_absolute_delta", "bias_size": "abs(v_bq) - abs(v_bp)"}), "")
+    {"squared_delta": "v_squared_delta", "absolute_delta": "v_absolute_delta", "bias_size": "abs(v_bq) - abs(v_bp)"}).replace(", 6)", ", 8)"), "")
 SQL["bootstrap_spearman_ci"] = q(SPLIT + BOOT.format(rows="t", ns="boot", seed=43) + f""",
 big AS (SELECT rep, code, uh, up FROM t JOIN w USING (item_id), range(m)),
 rp AS {rho('big', 'rep, code', 'uh', 'up')}, pt AS {rho('t', 'code', 'uh', 'up', 'estimate')},

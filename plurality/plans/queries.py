@@ -27,9 +27,9 @@ def query(f):
     return f
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to six places: sums of doubles depend on the order of their rows."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles to some places: sums of doubles depend on the order of their rows."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c).cast("bigint").alias(c) if t in ("int", "bigint") else F.col(c) for c, t in df.dtypes])
 
 
 def deduped(spark, sf_dir):
@@ -453,7 +453,7 @@ def strict_bootstrap(spark, sf_dir):
     h, p, q = F.col("h"), F.col("p"), F.col("q")
     rows = split_long(spark, sf_dir).filter("sensitivity").select("item_id", "code", (X.squared(q, h) - X.squared(p, h)).alias("squared_delta"), (X.absolute(q, h) - X.absolute(p, h)).alias("absolute_delta"), (p - h).alias("bp"), (q - h).alias("bq"))
     size = lambda df: df.withColumn("bias_size", F.abs("bq") - F.abs("bp")).drop("bp", "bq")
-    return rounded(B.bootstrap_means(rows, ["squared_delta", "absolute_delta", "bp", "bq"], REPS, after=size))
+    return rounded(B.bootstrap_means(rows, ["squared_delta", "absolute_delta", "bp", "bq"], REPS, after=size), 8)  # on the grid of p, six places would cut many values in half
 
 
 @query
@@ -464,7 +464,7 @@ def cluster_bootstrap(spark, sf_dir):
 
 @query
 def review_cases(spark, sf_dir):
-    return A.review_cases(part(spark, sf_dir, "dev")).withColumn("place", F.col("place").cast("bigint"))
+    return A.review_cases(part(spark, sf_dir, "dev"))
 
 
 # Jobs and their cache
