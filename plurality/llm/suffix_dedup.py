@@ -496,3 +496,19 @@ def _shard_of(shards):
 
 def op10_suffix_family(spark, sf_dir):
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+#: Every 100-byte string by itself, as hex: the earliest stays, the others' runs are cut out.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(n - 99)) AS p FROM d WHERE n >= 100)),
+dup AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1),
+marked AS (SELECT doc_id, p, coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS fresh FROM dup),
+runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM
+  (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM marked) GROUP BY doc_id, run),
+pieces AS (SELECT r.doc_id, r.a, r.b, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS before, lead(a) OVER o IS NULL AS final, substr(h, 2 * b + 1) AS after
+  FROM runs r JOIN d USING (doc_id) WINDOW o AS (PARTITION BY doc_id ORDER BY a)),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(before || CASE WHEN final THEN after ELSE '' END, '' ORDER BY a) AS kept FROM pieces GROUP BY doc_id)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
