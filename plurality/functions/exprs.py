@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 #: Confidence levels of a judgment and their values; blank is missing.
 CONFIDENCE = {"Not Confident": 0.0, "Somewhat Confident": 0.5, "Confident": 1.0}
-_EDGE = r"^\s+|\s+$"
+_EDGE = " \t\n\x0b\f\r"
 
 
 def strip(x: Column) -> Column:
     """Without white space of any kind at either end (``trim`` takes spaces only)."""
-    return F.regexp_replace(x, _EDGE, "")
+    return F.btrim(x, F.lit(_EDGE))
 
 
 def label_set(annotation: Column) -> Column:

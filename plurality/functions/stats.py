@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,15 +48,26 @@ def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, o
     return ranked.select(*keys, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out))
 
 
+def shared(df: DataFrame) -> DataFrame:
+    """Kept for the several branches of a query that read it; what is lost with an executor is computed again."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def counted(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, count), kept for the branches that read it: shares and probabilities lie on few values."""
+    return shared(df.groupBy(*keys).count())
+
+
 def usable(*cols: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in cols])
+    """Whether all are finite numbers; one comparison each, for null and NaN fail it too (NaN is above infinity)."""
+    return reduce(lambda a, b: a & b, [F.abs(c) < float("inf") for c in cols])
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", weight: str | None = None) -> DataFrame:
     """Rank correlation for each key over rows with both values; null below three rows or for a constant side."""
     w = F.col(weight) if weight else F.lit(1)
     pairs = df.filter(usable(x, y)).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), w.cast("bigint").alias("_n"))
-    pairs = pairs.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_n"))
+    pairs = shared(pairs.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_n")))
     ranked = pairs.join(average_ranks(pairs, keys, "_x", "_n", "_rx"), [*keys, "_x"]).join(average_ranks(pairs, keys, "_y", "_n", "_ry"), [*keys, "_y"])
     sums = ranked.groupBy(*keys).agg(
         F.sum("_n").alias("_c"),
@@ -68,10 +80,11 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", w
     return sums.select(*keys, F.when(F.col("_c") >= 3, rho).alias(out))
 
 
-def auc(df: DataFrame, keys: list[str], positive: str, score: str, out: str = "auc") -> DataFrame:
+def auc(df: DataFrame, keys: list[str], positive: str, score: str, out: str = "auc", weight: str | None = None) -> DataFrame:
     """Area under the ROC curve by mean ranks; null where a class is empty."""
-    rows = df.filter(usable(score) & F.col(positive).isNotNull()).select(*keys, F.col(positive).cast("boolean").alias("_y"), F.col(score).cast("double").alias("_x"))
-    rows = rows.groupBy(*keys, "_y", "_x").agg(F.count(F.lit(1)).alias("_n"))
+    w = F.col(weight) if weight else F.lit(1)
+    rows = df.filter(usable(score) & F.col(positive).isNotNull()).select(*keys, F.col(positive).cast("boolean").alias("_y"), F.col(score).cast("double").alias("_x"), w.cast("bigint").alias("_n"))
+    rows = shared(rows.groupBy(*keys, "_y", "_x").agg(F.sum("_n").alias("_n")))
     ranked = rows.join(average_ranks(rows, keys, "_x", "_n", "_r"), [*keys, "_x"])
     one = F.when(F.col("_y"), F.col("_n")).otherwise(0)
     sums = ranked.groupBy(*keys).agg(F.sum(one * F.col("_r")).alias("_rank"), F.sum(one).cast("double").alias("_p"), F.sum("_n").alias("_all"))
@@ -93,6 +106,11 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(value * weight), F.sum(weight))
 
 
+def counted_mean(value: Column, count: str = "count") -> Column:
+    """The mean over rows that stand for ``count`` each; null values are left out."""
+    return F.try_divide(F.sum(value * F.col(count)), F.sum(F.when(value.isNotNull(), F.col(count))))
+
+
 def interval(value: str) -> list[Column]:
     """Bounds of the central 95%, linearly interpolated."""
     return [F.expr(f"percentile({value}, 0.025)").alias("ci95_low"), F.expr(f"percentile({value}, 0.975)").alias("ci95_high")]

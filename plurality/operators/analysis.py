@@ -26,14 +26,18 @@ def _q():
 
 
 def code_metrics(long: DataFrame) -> DataFrame:
-    """Losses of p and of its hard label, and how the uncertainties of p and of the votes rank together."""
-    rho = S.spearman(long.select("code", X.entropy(_h()).alias("uh"), X.entropy(_p()).alias("up")), ["code"], "uh", "up")
-    rows = long.groupBy("code").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(X.squared(_p(), _h())).alias("squared_loss"),
-        F.avg(X.squared(X.hard(_p()), _h())).alias("hard_squared_loss"),
-        F.avg(X.absolute(_p(), _h())).alias("absolute_loss"),
-        F.avg(X.absolute(X.hard(_p()), _h())).alias("hard_absolute_loss"),
+    """Losses of p and of its hard label, and how the uncertainties of p and of the votes rank together.
+
+    Equal rows are counted first, and all else reads the counts.
+    """
+    counted = S.counted(long, "code", "h", "p")
+    rho = S.spearman(counted.select("code", X.entropy(_h()).alias("uh"), X.entropy(_p()).alias("up"), "count"), ["code"], "uh", "up", weight="count")
+    rows = counted.groupBy("code").agg(
+        F.sum("count").alias("n"),
+        S.counted_mean(X.squared(_p(), _h())).alias("squared_loss"),
+        S.counted_mean(X.squared(X.hard(_p()), _h())).alias("hard_squared_loss"),
+        S.counted_mean(X.absolute(_p(), _h())).alias("absolute_loss"),
+        S.counted_mean(X.absolute(X.hard(_p()), _h())).alias("hard_absolute_loss"),
     )
     return rows.join(rho, "code")
 
@@ -45,8 +49,9 @@ def loss_deltas(long: DataFrame) -> DataFrame:
 
 
 def pairwise_association(long: DataFrame) -> DataFrame:
-    pairs = long.select("code", X.entropy(_p()).alias("u"), F.round(X.disagreement(_h(), F.col("n_annotators")), 12).alias("d"))
-    return S.with_macro(S.spearman(pairs, ["code"], "u", "d"), "code", ["rho"])
+    counted = S.counted(long, "code", "h", "p", "n_annotators")
+    pairs = counted.select("code", X.entropy(_p()).alias("u"), F.round(X.disagreement(_h(), F.col("n_annotators")), 12).alias("d"), "count")
+    return S.with_macro(S.spearman(pairs, ["code"], "u", "d", weight="count"), "code", ["rho"])
 
 
 def confidence_association(long: DataFrame) -> DataFrame:
@@ -161,11 +166,14 @@ def reliability_bins(long: DataFrame, keys, bins: int = 10) -> DataFrame:
 
 def disagreement_detection(long: DataFrame) -> DataFrame:
     mixed = (_h() > 0) & (_h() < 1)
-    flagged = long.select("code", "p", mixed.alias("mixed"), X.entropy(_p()).alias("u"))
-    rows = long.groupBy("code").agg(
-        F.avg(mixed.cast("double")).alias("prevalence"), F.avg(F.when(_h() == 0, _p())).alias("p_at_zero"), F.avg(F.when(mixed, _p())).alias("p_at_mixed"), F.avg(F.when(_h() == 1, _p())).alias("p_at_one")
-    )
-    return rows.join(S.auc(flagged, ["code"], "mixed", "u", "auc_entropy"), "code").join(S.auc(flagged, ["code"], "mixed", "p", "auc_p"), "code")
+    counted = S.counted(long, "code", "h", "p")
+    flagged = counted.select("code", "p", mixed.alias("mixed"), X.entropy(_p()).alias("u"), "count")
+    rows = counted.groupBy("code").agg(
+        S.counted_mean(mixed.cast("double")).alias("prevalence"), S.counted_mean(F.when(_h() == 0, _p())).alias("p_at_zero"),
+        S.counted_mean(F.when(mixed, _p())).alias("p_at_mixed"), S.counted_mean(F.when(_h() == 1, _p())).alias("p_at_one"),
+    )
+    area = lambda score, out: S.auc(flagged, ["code"], "mixed", score, out, weight="count")
+    return rows.join(area("u", "auc_entropy"), "code").join(area("p", "auc_p"), "code")
 
 
 def review_cases(long: DataFrame) -> DataFrame:

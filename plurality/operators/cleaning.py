@@ -16,8 +16,14 @@ def exact_dedupe(votes: DataFrame) -> DataFrame:
 
 
 def semantic_dedupe(votes: DataFrame) -> DataFrame:
-    """One row for each item, annotator, set of labels and confidence, whatever the order of the labels."""
-    return exact_dedupe(votes).select(*ITEM, "annotator", X.label_signature(F.col("annotation")).alias("labels"), "confidence").distinct()
+    """One row for each item, annotator, set of labels and confidence, whatever the order of the labels.
+
+    Raw votes are dealt once, by item and annotator: label sets are then read in all tasks however few files
+    hold the votes, and neither this step nor a count by item and annotator shuffles again. Repeated votes are
+    rare, so little is lost by not merging them before the shuffle.
+    """
+    dealt = votes.select(*RAW).repartition(*ITEM, "annotator")
+    return dealt.select(*ITEM, "annotator", X.label_signature(F.col("annotation")).alias("labels"), "confidence").distinct()
 
 
 def conflicting_pairs(deduped: DataFrame) -> DataFrame:
@@ -34,15 +40,26 @@ def retained_votes(deduped: DataFrame) -> DataFrame:
     return deduped.join(conflicted_items(deduped), ITEM, "left_anti")
 
 
-def vote_shares(votes: DataFrame, codes: list[str]) -> DataFrame:
-    """One row an item: ``item_id``, identity, n_annotators, confidence_mean, and votes_ and human_ of each code."""
-    labels = F.split("labels", ",")
-    aggregates = [F.countDistinct("annotator").alias("n_annotators"), F.count(F.lit(1)).alias("n_votes"), F.avg(X.confidence_value(F.col("confidence"))).alias("confidence_mean")]
-    for c in codes:
-        aggregates += [F.sum(X.indicator(labels, c)).cast("bigint").alias(f"votes_{c}")]
-    items = votes.groupBy(*ITEM).agg(*aggregates)
+def by_annotator(votes: DataFrame, codes: list[str]) -> DataFrame:
+    """One row for each item and annotator: judgments, sum and count of confidence values, votes_ of each code."""
+    labels, level = F.split("labels", ","), X.confidence_value(F.col("confidence"))
+    counts = [F.count_if(F.array_contains(labels, c)).alias(f"votes_{c}") for c in codes]
+    return votes.groupBy(*ITEM, "annotator").agg(F.count(F.lit(1)).alias("judgments"), F.sum(level).alias("sure"), F.count(level).alias("n_sure"), *counts)
+
+
+def vote_shares(votes: DataFrame, codes: list[str], *, without_conflicts: bool = False) -> DataFrame:
+    """One row an item: ``item_id``, identity, n_annotators, confidence_mean, and votes_ and human_ of each code.
+
+    Votes are summed by item and annotator, then by item, so an item that very many judged stays no one task's.
+    ``without_conflicts`` leaves out items of which an annotator has several judgments: what
+    ``vote_shares(retained_votes(votes), codes)`` gives, without its join.
+    """
+    sums = [F.count("annotator").alias("n_annotators"), F.sum("judgments").alias("n_votes"), F.try_divide(F.sum("sure"), F.sum("n_sure")).alias("confidence_mean"), F.max("judgments").alias("_most")]
+    items = by_annotator(votes, codes).groupBy(*ITEM).agg(*sums, *[F.sum(f"votes_{c}").alias(f"votes_{c}") for c in codes])
+    if without_conflicts:
+        items = items.filter("_most = 1")
     shares = [(F.col(f"votes_{c}") / F.col("n_votes")).alias(f"human_{c}") for c in codes]
-    return items.select(X.item_id(*[F.col(c) for c in ITEM]).alias("item_id"), X.content_id(F.col("text")).alias("content_id"), "*", *shares)
+    return items.drop("_most").select(X.item_id(*[F.col(c) for c in ITEM]).alias("item_id"), X.content_id(F.col("text")).alias("content_id"), "*", *shares)
 
 
 def eligible(items: DataFrame, least: int = 3) -> DataFrame:
@@ -52,18 +69,21 @@ def eligible(items: DataFrame, least: int = 3) -> DataFrame:
 
 
 def audit(votes: DataFrame, codes: list[str], least: int = 3) -> DataFrame:
-    """One row of counts over every step of the clean-up; each step is one aggregate, joined as one-row tables."""
-    deduped = semantic_dedupe(votes)
-    kept = retained_votes(deduped)
-    items = vote_shares(kept, codes)
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias("v")).select(F.lit(name).alias("k"), "v")
-    parts = [
-        count(votes, "raw_rows"), count(exact_dedupe(votes), "after_exact"), count(deduped, "after_semantic"),
-        count(conflicting_pairs(deduped), "conflicting_pairs"), count(conflicted_items(deduped), "conflicted_items"),
-        count(kept, "retained_votes"), count(items, "retained_items"), count(eligible(items, least), "eligible_items"),
-    ]
-    names = ["raw_rows", "after_exact", "after_semantic", "conflicting_pairs", "conflicted_items", "retained_votes", "retained_items", "eligible_items"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy().pivot("k", names).agg(F.first("v"))
+    """One row of counts over every step of the clean-up, from sums by item and annotator, then by item."""
+    pair = [*ITEM, "annotator"]
+    signature = X.label_signature(F.col("annotation"))
+    exact = votes.select(*RAW).repartition(*pair).groupBy(*RAW).agg(F.count(F.lit(1)).alias("rows"))
+    semantic = exact.groupBy(*pair, signature.alias("labels"), "confidence").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("exact"))
+    judged = semantic.groupBy(*pair).agg(F.sum("rows").alias("rows"), F.sum("exact").alias("exact"), F.count(F.lit(1)).alias("judgments"))
+    items = judged.groupBy(*ITEM).agg(
+        F.sum("rows").alias("rows"), F.sum("exact").alias("exact"), F.sum("judgments").alias("judgments"),
+        F.count_if(F.col("judgments") > 1).alias("pairs"), F.count("annotator").alias("n_annotators"),
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    whole = F.col("pairs") == 0
+    return items.agg(
+        total("rows").alias("raw_rows"), total("exact").alias("after_exact"), total("judgments").alias("after_semantic"),
+        total("pairs").alias("conflicting_pairs"), F.count_if(~whole).alias("conflicted_items"),
+        total(F.when(whole, F.col("judgments"))).alias("retained_votes"), F.count_if(whole).alias("retained_items"),
+        F.count_if(whole & (F.col("n_annotators") >= least)).alias("eligible_items"),
+    )

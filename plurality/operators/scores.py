@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plurality.plans.panel import stand_in_points
 
 KEEP = ["item_id", "content_id", "bucket", "source", "text", "n_annotators", "n_votes", "confidence_mean"]
+SPLIT = ["split", "sensitivity"]
 
 
 def prediction_columns(codes: list[str]) -> list:
@@ -28,9 +29,9 @@ def join_predictions(items: DataFrame, predicted: DataFrame) -> DataFrame:
 
 
 def long_scores(wide: DataFrame, codes: list[str]) -> DataFrame:
-    """(item columns, code, h, p, q) from columns human_, p_ and q_ of each code."""
+    """(item columns, code, h, p, q) from columns human_, p_ and q_ of each code; ``split`` and ``sensitivity`` are kept."""
     rows = F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"human_{c}").alias("h"), F.col(f"p_{c}").alias("p"), F.col(f"q_{c}").alias("q")) for c in codes])
-    return wide.select(*KEEP, F.inline(rows))
+    return wide.select(*KEEP, *[c for c in SPLIT if c in wide.columns], F.inline(rows))
 
 
 def wide_scores(long: DataFrame, codes: list[str], value: str = "p") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +40,7 @@ def kept(spark, sf_dir):
 
 
 def all_items(spark, sf_dir):
-    return C.vote_shares(kept(spark, sf_dir), CODES)
+    return C.vote_shares(deduped(spark, sf_dir), CODES, without_conflicts=True)
 
 
 def items(spark, sf_dir):
@@ -53,19 +52,12 @@ def wide(spark, sf_dir):
     return items(spark, sf_dir).select("*", *L.prediction_columns(CODES))
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """Kept for the several branches of a query that read it; what is lost with an executor is computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def long(spark, sf_dir):
-    return shared(L.long_scores(wide(spark, sf_dir), CODES))
+    return S.shared(L.long_scores(wide(spark, sf_dir), CODES))
 
 
 def split_long(spark, sf_dir):
-    own = wide(spark, sf_dir)
-    split = G.assign(shared(own).select("item_id", "text"), DEV, SENSITIVITY).select("item_id", "split", "sensitivity")
-    return shared(L.long_scores(own, CODES).join(split, "item_id"))
+    return S.shared(L.long_scores(G.assign(S.shared(wide(spark, sf_dir)), DEV, SENSITIVITY), CODES))
 
 
 def part(spark, sf_dir, split):
@@ -283,7 +275,7 @@ def brier_identity(spark, sf_dir):
 
 
 def review_items(spark, sf_dir):
-    return A.item_review(part(spark, sf_dir, "test"))
+    return S.shared(A.item_review(part(spark, sf_dir, "test")))
 
 
 @query
@@ -314,8 +306,9 @@ def triage_random(spark, sf_dir):
 def reviewed_long(spark, sf_dir):
     """Test scores with the rank of their item in the targeted review."""
     rows = part(spark, sf_dir, "test")
-    ranked = S.global_rank(A.item_review(rows), "entropy", "item_id", descending=True).select("item_id", "rank")
-    return rows.join(ranked, "item_id"), ranked.count()
+    reviewed = S.shared(A.item_review(rows))
+    ranked = S.global_rank(reviewed, "entropy", "item_id", descending=True).select("item_id", "rank")
+    return rows.join(ranked, "item_id"), reviewed.count()
 
 
 def recovery(spark, sf_dir):
