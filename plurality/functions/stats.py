@@ -68,7 +68,12 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str, out: str = "rho", w
     w = F.col(weight) if weight else F.lit(1)
     pairs = df.filter(usable(x, y)).select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), w.cast("bigint").alias("_n"))
     pairs = shared(pairs.groupBy(*keys, "_x", "_y").agg(F.sum("_n").alias("_n")))
-    ranked = pairs.join(average_ranks(pairs, keys, "_x", "_n", "_rx"), [*keys, "_x"]).join(average_ranks(pairs, keys, "_y", "_n", "_ry"), [*keys, "_y"])
+    # Both sides are ranked, and meet their ranks, in one pass.
+    side = lambda name: F.struct(F.lit(name).alias("_side"), F.col(f"_{name}").alias("_v"))
+    sides = pairs.select(*keys, "_x", "_y", "_n", F.inline(F.array(side("x"), side("y"))))
+    met = sides.join(average_ranks(sides, [*keys, "_side"], "_v", "_n", "_r"), [*keys, "_side", "_v"])
+    rank_of = lambda name: F.max(F.when(F.col("_side") == name, F.col("_r")))
+    ranked = met.groupBy(*keys, "_x", "_y", "_n").agg(rank_of("x").alias("_rx"), rank_of("y").alias("_ry"))
     sums = ranked.groupBy(*keys).agg(
         F.sum("_n").alias("_c"),
         F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")).alias("_xy"),
@@ -125,6 +130,9 @@ def equal_frequency_bins(df: DataFrame, keys: list[str], score: str, id_col: str
 
 
 def with_macro(df: DataFrame, key: str, values: list[str], by=()) -> DataFrame:
-    """Adds rows ``macro``: the plain means of the keys' values (not a pooled statistic)."""
-    macro = df.groupBy(*by).agg(*[F.avg(v).alias(v) for v in values]).withColumn(key, F.lit("macro"))
-    return df.select(*by, key, *values).unionByName(macro.select(*by, key, *values))
+    """Adds rows ``macro``: the plain means of the keys' values (not a pooled statistic); ``df`` has one row a key.
+
+    Each row goes to its own group and to the macro's, so ``df`` is computed once.
+    """
+    both = df.select(*by, F.explode(F.array(F.col(key), F.lit("macro"))).alias(key), *values)
+    return both.groupBy(*by, key).agg(*[F.avg(v).alias(v) for v in values])
