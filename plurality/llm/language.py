@@ -17,10 +17,8 @@ from plurality.llm.common import table, text_or_empty
 
 #: Documents of each language the model is fitted on (smallest hashes of their ids), about.
 TRAIN_DOCS = 1500
-#: Longest piece in characters; longer entries of the vocabulary are never used.
-MAX_PIECE = 5
-#: Words longer than this are scored in parts of this many characters.
-MAX_WORD = 24
+#: Words longer than this are scored with rescaled sums, which cannot underflow; rescaled every so many characters.
+LONG, RESCALE = 24, 8
 SMOOTHING = 0.1
 UNDETERMINED = "und"
 VOCABULARY = "piece_bpe_32k.model"
@@ -29,7 +27,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def vocabulary(path: str | None = None) -> list[str]:
-    """Letter pieces, in lower case and of at most ``MAX_PIECE`` characters, of a public piece file.
+    """Letter pieces, in lower case, of a public piece file.
 
     Every single letter is added when it is met, under one shared entry, so each word has a segmentation.
     """
@@ -38,7 +36,7 @@ def vocabulary(path: str | None = None) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path(VOCABULARY))
     pieces = {model.id_to_piece(i).lstrip("▁").lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= MAX_PIECE and p.isalpha())
+    return sorted(p for p in pieces if p.isalpha())
 
 
 def _codes(words: list[str], width: int) -> np.ndarray:
@@ -46,14 +44,15 @@ def _codes(words: list[str], width: int) -> np.ndarray:
     return joined.reshape(len(words), width)
 
 
-def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all runs of ``size`` characters: (words, width - size + 1)."""
-    width = codes.shape[1] - size + 1
-    h = np.zeros((codes.shape[0], width), np.uint64)
-    for k in range(size):
-        h = (h ^ codes[:, k : k + width].astype(np.uint64)) * _BASE
+def _hashes(codes: np.ndarray, longest: int):
+    """(size, hashes of all runs of ``size`` characters: (words, width - size + 1)) for each size up to ``longest``."""
+    codes = codes.astype(np.uint64)
+    width = codes.shape[1]
+    h = np.zeros(codes.shape, np.uint64)
+    for size in range(1, min(longest, width) + 1):
+        h = (h[:, : width - size + 1] ^ codes[:, size - 1 :]) * _BASE
         h ^= h >> np.uint64(29)
-    return h
+        yield size, h
 
 
 class Pieces:
@@ -62,24 +61,48 @@ class Pieces:
     def __init__(self, pieces: list[str]):
         self.n = len(pieces) + 1
         self.tables = {}
-        for size in range(1, MAX_PIECE + 1):
+        self.longest = max(map(len, pieces), default=1)
+        for size in range(1, self.longest + 1):
             at = np.array([i for i, p in enumerate(pieces) if len(p) == size], np.int64)
             if len(at):
-                h = _hashes(_codes([pieces[i] for i in at], size), size)[:, 0]
-                order = np.argsort(h)
-                self.tables[size] = (h[order], at[order])
-
-    def find(self, codes: np.ndarray, size: int) -> np.ndarray | None:
-        """Place of each run of ``size`` characters, or -1."""
-        if codes.shape[1] < size:
-            return None
-        if size not in self.tables:
-            return np.full(codes.shape, self.n - 1) if size == 1 else None
-        known, at = self.tables[size]
-        h = _hashes(codes, size)
-        i = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        found = np.where(known[i] == h, at[i], -1)
-        return np.where(found < 0, self.n - 1, found) if size == 1 else found
+                *_, (_, h) = _hashes(_codes([pieces[i] for i in at], size), size)
+                order = np.argsort(h[:, 0])
+                self.tables[size] = (h[order, 0], at[order])
+
+    def find(self, codes: np.ndarray) -> dict[int, np.ndarray]:
+        """For each size that occurs: the place of each run of so many characters, or -1."""
+        out = {}
+        for size, h in _hashes(codes, self.longest):
+            found = np.full(h.shape, -1)
+            if size in self.tables:
+                known, at = self.tables[size]
+                i = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                found = np.where(known[i] == h, at[i], -1)
+            if size == 1:
+                found = np.where(found < 0, self.n - 1, found)
+            if (found >= 0).any():
+                out[size] = found
+        return out
+
+
+def _log_sums(found: dict[int, np.ndarray], p: np.ndarray, width: int) -> np.ndarray:
+    """Logs of the forward sums at each place of words of any length: (width + 1, words, ...).
+
+    Sums that later ones are made from are divided by the newest every ``RESCALE`` characters.
+    """
+    one = p[found[1][:, 0]]
+    sums, logs, shift = np.zeros((width + 1, *one.shape)), np.zeros((width + 1, *one.shape)), np.zeros(one.shape)
+    sums[0] = 1.0
+    reach = max(found)
+    for end in range(1, width + 1):
+        for size, x in found.items():
+            if size <= end:
+                sums[end] += sums[end - size] * p[x[:, end - size]]
+        logs[end] = np.log(sums[end]) + shift
+        if end % RESCALE == 0:
+            shift = logs[end].copy()
+            sums[max(0, end - reach + 1) : end + 1] /= sums[end].copy()
+    return logs
 
 
 def word_scores(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
@@ -88,7 +111,10 @@ def word_scores(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarra
     p = np.vstack([np.exp(logp), np.zeros(logp.shape[1])])  # place -1: no piece
     for width, at in _by_length(words):
         codes = _codes([words[i] for i in at], width)
-        found = {size: x for size in range(1, MAX_PIECE + 1) if (x := pieces.find(codes, size)) is not None}
+        found = pieces.find(codes)
+        if width > LONG:
+            out[at] = _log_sums(found, p, width)[width]
+            continue
         alpha = np.zeros((width + 1, len(at), logp.shape[1]))
         alpha[0] = 1.0
         for end in range(1, width + 1):
@@ -105,7 +131,14 @@ def expected_counts(words: list[str], counts: np.ndarray, pieces: Pieces, p: np.
     p = np.append(p, 0.0)
     for width, at in _by_length(words):
         codes = _codes([words[i] for i in at], width)
-        found = {size: x for size in range(1, MAX_PIECE + 1) if (x := pieces.find(codes, size)) is not None}
+        found = pieces.find(codes)
+        if width > LONG:
+            before, after = _log_sums(found, p, width), _log_sums({size: x[:, ::-1] for size, x in found.items()}, p, width)[::-1]
+            for size, x in found.items():
+                for start in range(width - size + 1):
+                    used = p[x[:, start]] * np.exp(before[start] + after[start + size] - before[width]) * counts[at]
+                    total += np.bincount(np.where(x[:, start] < 0, pieces.n, x[:, start]), used, minlength=pieces.n + 1)[: pieces.n]
+            continue
         alpha, beta = np.zeros((width + 1, len(at))), np.zeros((width + 1, len(at)))
         alpha[0] = beta[width] = 1.0
         for end in range(1, width + 1):
@@ -129,14 +162,15 @@ def _by_length(words: list[str]):
     order = np.argsort(lengths, kind="stable")
     for at in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
         if len(at):
-            for part in np.array_split(at, -(-len(at) // 20_000)):
-                yield int(lengths[part[0]]), part
+            width = int(lengths[at[0]])
+            most = 20_000 if width <= LONG else max(1, 20_000 * LONG // width)
+            for part in np.array_split(at, -(-len(at) // most)):
+                yield width, part
 
 
 def _letters(token: str) -> list[str]:
-    """The letter runs of a token in lower case, in parts of at most ``MAX_WORD`` characters."""
-    runs = "".join(c if c.isalpha() else " " for c in token).split()
-    return [r[i : i + MAX_WORD] for r in runs for i in range(0, len(r), MAX_WORD)]
+    """The letter runs of a token in lower case, whole."""
+    return "".join(c if c.isalpha() else " " for c in token).split()
 
 
 def _tokens(texts):
@@ -152,7 +186,7 @@ def _tokens(texts):
 
 def _expand(distinct: list[str]):
     """Letter words of the distinct tokens: (token of each, word)."""
-    plain = {i for i, t in enumerate(distinct) if t.isalpha() and len(t) <= MAX_WORD}
+    plain = {i for i, t in enumerate(distinct) if t.isalpha()}
     of, words = [], []
     for i, t in enumerate(distinct):
         for w in [t] if i in plain else _letters(t):
