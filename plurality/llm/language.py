@@ -323,9 +323,12 @@ def identify(docs: DataFrame, **options) -> DataFrame:
 def accept_language(docs: DataFrame, accepted=None, *, text_col="text", min_score=0.0, **options) -> DataFrame:
     """The rows of ``docs`` predicted as one of ``accepted`` (default: any learned language), whole and as they were.
 
-    ``und`` texts go. Rows are judged where they stand: no shuffle, no join by id.
+    ``und`` texts go. Rows are judged where they stand: no shuffle, no join by id. If nothing could be learned
+    and no languages are named, every text with a letter stays.
     """
     model = fit(docs, text_col=text_col, **options)
+    if not model[0] and accepted is None:
+        return docs.filter(F.col(text_col).rlike(r"\p{L}"))
     keep = set(model[0] if accepted is None else accepted)
     column = docs.columns.index(text_col)
 

@@ -42,3 +42,10 @@ def test_expected_counts_of_long_words():
                 want[i] += np.exp(before[s] + logp[i, 0] + after[e] - before[-1])
     assert np.allclose(language.expected_counts([word], np.ones(1), pieces, p), want)
     assert np.allclose(language.expected_counts([word[:21]] * 2, np.ones(2), pieces, p), 2 * language.expected_counts([word[:21]], np.ones(1), pieces, p))
+
+
+def test_without_labels_texts_with_a_letter_stay(spark):
+    rows = [(1, "some words here", None), (2, "123 !!", None), (3, None, None), (4, "汉字", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in language.accept_language(docs).collect()) == [1, 4]
+    assert language.accept_language(docs, ["en"]).count() == 0
