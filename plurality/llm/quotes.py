@@ -1,8 +1,9 @@
 """Quotation linking: quoted passages to the messages they come from, and reply order without quotes.
 
 Lines have the level of their leading ``>`` marks; runs of one level are passages. Passages are normalised
-and hashed, and meet an index of what messages say themselves: whole bodies, runs and lines, each hash once
-with its earliest message. A quoted passage is linked within its own conversation first, then anywhere.
+and hashed, whole and line by line, and meet an index of what messages say themselves: whole bodies, runs and
+lines, each hash with the earliest message of its first two conversations. A quoted passage is linked within its
+own conversation first, then anywhere; a whole passage comes before a line of it, long lines before short ones.
 A message that quotes an earlier one starts a branch there; one without a link goes on with the branch before.
 """
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from plurality.llm.common import let, materialize, table, text_or_empty
 
-#: Characters a normalised passage must have to be linked; turns of a conversation in one bucket.
+#: Characters a normalised passage must have to be linked to another conversation; turns of a conversation in one bucket.
 LEAST, BUCKET = 12, 1000
 _MARKS = r"^(?:[ \t]*>)+[ \t]?"
 _QUOTED = r"(?m)^[ \t]*>"
@@ -47,33 +48,40 @@ def link_quotes(messages: DataFrame, *, conv_col="conv_id", turn_col="turn", tex
     ``clean_text`` is the message without quotes; (conv_id, branch, turn) is the reply order. The parent is the
     message that the outermost linked quote comes from, the latest of several. Null and empty texts quote
     nothing; rows with null ids are kept and never linked; repeated rows are messages of their own with equal
-    results. Hot passages, lines and conversations are spread: the index has one row a hash, and branches
+    results. Hot passages, lines and conversations are spread: the index has one row a hash or one a
+    conversation and hash, and branches
     run on over buckets of turns. An empty table gives no rows. Only the four named columns are read.
     """
     rows = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), text_or_empty(text_col).alias("text"))
-    hashed = lambda x: let(normalised(x), lambda n: F.when(F.length(n) >= LEAST, F.sha2(n, 256)))
+    hashed = lambda x: let(normalised(x), lambda n: F.when(F.length(n) >= LEAST, F.sha2(n, 256)).when(n != "", F.concat(F.lit("-"), F.sha2(n, 256))))  # noqa: E731; "-": short
     own = lambda p: F.filter(p, lambda x: x["level"] == 0)
     texts = lambda p: F.transform(p, lambda x: x["text"])
     parsed = rows.select("conv_id", "turn", "role", passages(F.col("text")).alias("p")).select(
         "conv_id", "turn", "role", F.array_max(F.transform("p", lambda x: x["level"])).alias("max_level"),
         F.trim(F.array_join(texts(own(F.col("p"))), "\n")).alias("clean_text"),
-        F.transform(F.filter("p", lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), hashed(x["text"]).alias("h"), hashed(F.substring_index(x["text"], "\n", 1)).alias("line"))).alias("quotes"),
+        F.transform(F.filter("p", lambda x: x["level"] > 0), lambda x: F.struct(x["level"].alias("level"), hashed(x["text"]).alias("h"), F.array_distinct(F.transform(F.split(x["text"], "\n", -1), hashed)).alias("lines"))).alias("quotes"),
         texts(own(F.col("p"))).alias("runs"),
     )
     parsed = materialize(parsed, "quote-messages")
     lines = F.flatten(F.transform("runs", lambda x: F.split(x, "\n", -1)))
     units = F.array_distinct(F.transform(F.concat(F.array("clean_text"), F.col("runs"), lines), hashed))
     said = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.explode(F.filter(units, lambda x: x.isNotNull())).alias("h"))
-    anywhere = materialize(said.groupBy("h").agg(F.min(F.struct("conv_id", "turn")).alias("first")), "quote-index")
     inside = materialize(said.groupBy("conv_id", "h").agg(F.min("turn").alias("own_turn")), "quote-own-index")
+    far_rows = inside.filter(~F.col("h").startswith("-")).select("h", F.struct("conv_id", F.col("own_turn").alias("turn")).alias("m"))
+    first = materialize(far_rows.groupBy("h").agg(F.min("m").alias("first")), "quote-index")
     quoted = parsed.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.posexplode("quotes").alias("at", "q"))
-    tried = quoted.select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.explode(F.array_distinct(F.filter(F.array("q.h", "q.line"), lambda x: x.isNotNull()))).alias("h"))
-    found = tried.join(inside, ["conv_id", "h"], "left").join(anywhere, "h", "left")
+    parts = F.concat(F.array(F.struct(F.col("q.h").alias("h"), F.lit(True).alias("whole"))), F.transform(F.array_except("q.lines", F.array("q.h")), lambda h: F.struct(h.alias("h"), F.lit(False).alias("whole"))))
+    tried = quoted.select("conv_id", "turn", "at", F.col("q.level").alias("level"), F.explode(F.filter(parts, lambda x: x["h"].isNotNull())).alias("u")).select("conv_id", "turn", "at", "level", "u.h", "u.whole")
     near, far = F.col("own_turn") < F.col("turn"), F.col("first.conv_id") != F.col("conv_id")
-    source = F.when(near, F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn"))).when(far, F.col("first"))
+    found = materialize(tried.join(inside, ["conv_id", "h"], "left").join(first, "h", "left"), "quote-tried")
+    # Where the first conversation is the quoting one, which says it too late, the next conversation has the source.
+    late = found.filter((F.col("own_turn") >= F.col("turn")) & ~far).select("h").distinct()
+    second = far_rows.join(late, "h", "left_semi").join(first, "h").filter(F.col("m.conv_id") != F.col("first.conv_id")).groupBy("h").agg(F.min("m").alias("second"))
+    found = found.join(second, "h", "left")
+    source = F.when(near, F.struct(F.col("conv_id").alias("conv_id"), F.col("own_turn").alias("turn"))).when(far, F.col("first")).otherwise(F.col("second"))
     found = found.withColumn("source", source).filter("source is not null")
-    # The outermost level first, then the own conversation, then the latest message.
-    order = F.struct((-F.col("level")).alias("a"), (F.col("source.conv_id") == F.col("conv_id")).alias("b"), F.col("source.turn").alias("c"), F.col("source.conv_id").alias("d"))
+    # The outermost level first, then the own conversation, whole passages, long ones, then the latest message.
+    order = F.struct((-F.col("level")).alias("a"), (F.col("source.conv_id") == F.col("conv_id")).alias("b"), F.col("whole").alias("w"), (~F.col("h").startswith("-")).alias("l"), F.col("source.turn").alias("c"), F.col("source.conv_id").alias("d"))
     linked = found.groupBy("conv_id", "turn").agg(F.countDistinct("at").alias("n_linked"), F.max_by("source", order).alias("source"))
     out = parsed.join(linked, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", F.col("max_level").cast("int").alias("max_level"), F.size("quotes").cast("long").alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"),
