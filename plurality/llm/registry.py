@@ -23,6 +23,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_suffix_family": suffix_dedup.ORACLE,
+        "op2_quotation_linking": quotes.ORACLE,
         "op6_line_frequency_quality": line_quality.ORACLE,
         "op7_weighted_fair_mix": mixing.ORACLE,
     }
