@@ -47,6 +47,36 @@ def test_secrets_match_brute_force(spark):
     assert secrets.find_secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_precision_recall_and_ordered_tokens(spark):
+    """Planted keys against invented identifiers: what is reported is what the false-discovery rule promises."""
+    rng, words = random.Random(5), "report final user profile handler service payment invoice customer order update version release config build index summary north region".split()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda n: "".join(rng.choice(letters + letters.upper() + "0123456789") for _ in range(n - 2)) + "a7"
+    name = lambda: rng.choice("-_/").join([*(rng.choice(words) for _ in range(4)), rng.choice([str(rng.randint(2000, 2030)), f"v{rng.randint(1, 9)}"])])
+    planted, ordinary = [key(n) for n in (32, 40, 64) for _ in range(60)], [name() for _ in range(900)]
+    ordered = [letters.upper() + "0123456789", letters + "0123456789", "0001000200030004000500060007a", "1a2a3a4a5a6a7a8a9a1b2b3b4b5b", "a" * 30 + "1", "abc" * 12 + "123"]
+    rows = [(i, f"see {t} there") for i, t in enumerate([*planted, *ordinary, *ordered])]
+    got = {r[0]: r[1] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).select("doc_id", "n_random").collect()}
+    hits, false = sum(got[i] for i in range(len(planted))), sum(got[i] for i in range(len(planted), len(planted) + len(ordinary)))
+    assert hits >= 0.9 * len(planted) and false <= 1.5 * secrets.Q * (hits + false)
+    assert sum(got[i] for i in range(len(planted) + len(ordinary), len(rows))) == 0
+
+
+def test_secrets_in_a_long_text(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789") for _ in range(32)) for _ in range(15_000)]
+    text = "é ".join(w if i % 3 else "password = " + w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.find_secrets(docs).first()
+    assert got["n_assign"] == 5000 and got["n_random"] > 9000 and got["base_sha256"] == hashlib.sha256(brute_spans(text).encode()).hexdigest()
+    cut, at, want = secrets.redact_secrets(docs).first()["text"], 0, []
+    for kind, s, e in (x.split(":") for x in got["spans"].split(",")):
+        if int(s) >= at:
+            want += [text[at : int(s)], secrets.MARK]
+        at = max(at, int(e))
+    assert cut == "".join(want) + text[at:]
+
+
 def test_bpe_round_trip_and_reference(spark):
     import public_tokenizers
     import tiktoken
