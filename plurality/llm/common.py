@@ -37,7 +37,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables that ``materialize`` wrote, once nothing will read them again."""
+    for df in tables:
+        path = getattr(df, "_written_to", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def let(value: Column, body) -> Column:

@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum and a join; nothing about the graph reaches the driver but one checksum a
 round. Tables are written between rounds, so lineage stays short and both join sides are fresh exchanges,
-which lets Spark split the rows of a hub node over tasks.
+which lets Spark split the rows of a hub node over tasks; a round's tables are deleted when the next stands.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import materialize
+from plurality.llm.common import discard, materialize
 
 MAX_ROUNDS = 60
 
@@ -26,13 +26,14 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # Large star: each node hands its larger neighbours the smallest node it sees.
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        seen = materialize(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "cc-least")
+        large = both.filter("v > u").join(seen, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "cc-large")
         # Small star: each node ties its smaller neighbours, and itself, to the smallest of them.
         least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-small")
         small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        down = materialize(small, "cc-edges")
+        last, down = down, materialize(small, "cc-edges")
+        discard(last, seen, large, least)
         now = down.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

@@ -24,7 +24,7 @@ BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-#: Elements, and words of class, id and role, that never hold the article.
+#: Elements that never hold the article; and words of class, id and role that say the same of a container, with less trust.
 PRUNED = frozenset("nav footer aside form button select head svg canvas object audio video dialog menu".split()) | RAW
 NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs "
@@ -32,7 +32,9 @@ NAMES = frozenset(
     "subscribe subscription signup login social share sharing related recommended widget pagination pager search skip complementary contentinfo toolbar".split()
 )
 ROOTS = frozenset(["article", "main"])
-NAMED, HARD = 1, 2
+#: What a boilerplate name leaves of a container's density; paragraphs and the like are not weighed.
+NAME_WEIGHT = 0.1
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table li dd dt em strong b i span a code".split())
 #: Start tags that end an open element: tag -> (what it ends, what it does not reach beyond).
 _LISTS, _CELLS = frozenset(["ul", "ol", "menu", "dl"]), frozenset(["table"])
 ENDS = {
@@ -41,112 +43,130 @@ ENDS = {
     "option": (frozenset(["option"]), frozenset(["select"])), "tbody": (frozenset(["thead", "tbody", "tfoot"]), _CELLS), "tfoot": (frozenset(["thead", "tbody"]), _CELLS),
 }
 _P_SCOPE = frozenset(["td", "th", "table", "caption", "button", "object", "html", "body"])
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
+_BARRIERS = ("article", "main", "body", "table", "td")
 _HINT = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
 class Page:
-    """The tree of one page as lists: tag, parent and pruned-flag of each element, and its texts in page order."""
+    """The tree of one page as lists: tag, parent, pruned and named flag of each element, and its texts in page order.
+
+    One pass over the source: every scan for the end of a tag either uses up what it read or is known to be in
+    vain before it begins, and open elements are found by their tag, never by a walk over the stack.
+    """
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.pruned = ["#"], [-1], [0]
+        self.tags, self.parents, self.pruned, self.named, self._rooted = ["#"], [-1], [False], [False], [False]
         self.texts: list[tuple[int, str]] = []  # (element, text); a block boundary is a space
         self.body = 0
+        self._stack, self._open_at = [0], {}
         self._read(source)
-        self._settle()
-
-    def _settle(self):
-        """Passes pruning down the tree; names alone never prune what holds the article, or all of the text."""
-        n = len(self.tags)
-        holds = [t in ROOTS for t in self.tags]
-        for i in range(n - 1, 0, -1):
-            holds[self.parents[i]] |= holds[i]
-        own = self.pruned
-        for by_name in (True, False):
-            self.pruned = [False] * n
-            for i in range(1, n):
-                self.pruned[i] = self.pruned[self.parents[i]] or own[i] == HARD or by_name and own[i] == NAMED and not holds[i]
-            if any(not self.pruned[i] and t.strip() for i, t in self.texts):
-                break
+        for i in range(1, len(self.tags)):
+            self.pruned[i] |= self.pruned[self.parents[i]]
 
-    def _open(self, tag: str, attributes: str, stack: list[int]):
-        top = stack[-1]
+    def _add(self, tag: str, attributes: str) -> int:
+        top = self._stack[-1]
+        inside = self._rooted[top]
         self.tags.append(tag)
         self.parents.append(top)
-        self.pruned.append(self._never(tag, attributes, stack))
+        self._rooted.append(inside or tag in ROOTS)
+        self.pruned.append(tag in PRUNED or tag == "header" and not inside or bool(attributes and tag not in ("html", "body") and _HIDDEN.search(attributes)))
+        self.named.append(bool(attributes) and tag not in PLAIN and tag not in ("html", "body", *ROOTS) and self._boilerplate(attributes, inside))
         return len(self.tags) - 1
 
-    def _never(self, tag: str, attributes: str, stack: list[int]) -> int:
-        inside = any(self.tags[i] in ROOTS for i in stack)
-        if tag in PRUNED or tag == "header" and not inside:
-            return HARD
-        if not attributes or tag in ("html", "body", *ROOTS):
-            return 0
-        if _HIDDEN.search(attributes):
-            return HARD
-        for m in _HINT.finditer(attributes):
-            for word in _WORDS.findall(m[2] or m[3] or m[4] or ""):
-                if word.lower() in NAMES and not (inside and word.lower() in ("header", "alert")):
-                    return NAMED
-        return 0
+    @staticmethod
+    def _boilerplate(attributes: str, inside: bool) -> bool:
+        words = {w.lower() for m in _HINT.finditer(attributes) for w in _WORDS.findall(m[2] or m[3] or m[4] or "")}
+        return bool(words & NAMES - (frozenset(["header", "alert"]) if inside else frozenset()))
 
     def _read(self, source: str):
-        stack, at, n = [0], 0, len(source)
+        at, n, last = 0, len(source), {c: source.rfind(c) for c in ">\"'"}
         while at < n:
-            m = _TAG.search(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
-                break
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            if m[2] is None:
-                continue
-            tag = m[2].lower()
-            if tag in BLOCK:
-                self.texts.append((stack[-1], " "))
-            if m[1]:
-                for i in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[i]] == tag:
-                        del stack[i:]
-                        break
-                    if self.tags[stack[i]] in ("article", "main", "body", "table", "td") and tag not in BLOCK:
-                        break
-                continue
-            if tag in RAW:
-                self._open(tag, m[3], stack)
-                end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+            start = source.find("<", at)
+            if start < 0 or start > last[">"] and not source.startswith("<!--", start):
+                self._text(source[at:])
+                return
+            end, tag, closing, attributes = self._markup(source, start, last)
+            if end is None:  # a "<" that starts nothing
+                self._text(source[at : start + 1])
+                at = start + 1
                 continue
-            if tag in BLOCK and tag != "br":
-                self._close(stack, ("p",), _P_SCOPE)
-            if tag in ENDS:
-                self._close(stack, *ENDS[tag])
-            if tag in ("html", "body") and any(self.tags[i] == tag for i in stack):
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            if tag is None:
                 continue
-            node = self._open(tag, m[3], stack)
-            if tag == "body":
-                self.body = node
-            if tag not in VOID and not m[3].rstrip().endswith("/") or tag in BLOCK - VOID:
-                stack.append(node)
-
-    def _close(self, stack, tags, scope):
-        for i in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[i]]
-            if tag in tags:
-                del stack[i:]
-                return
-            if tag in scope:
-                return
+            if tag in BLOCK:
+                self.texts.append((self._stack[-1], " "))
+            if closing:
+                self._end((tag,), _BARRIERS if tag not in BLOCK else ())
+            elif tag in RAW:
+                self._add(tag, attributes)
+                over = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(source, at)
+                at = source.find(">", over.end()) + 1 if over and over.end() <= last[">"] else n
+            else:
+                self._start(tag, attributes)
+
+    @staticmethod
+    def _markup(source: str, start: int, last: dict):
+        """(end, tag, closing, attributes) of the markup at ``start``: no tag for comments, no end for a plain "<"."""
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            return (end + 3 if end >= 0 else len(source)), None, False, ""
+        if source[start + 1 : start + 2] in ("!", "?"):
+            return source.find(">", start) + 1, None, False, ""
+        closing = source.startswith("/", start + 1)
+        name = _NAME.match(source, start + 1 + closing)
+        if not name:
+            return None, None, False, ""
+        at = name.end()
+        while True:
+            m = _QUOTE_OR_END.search(source, at)
+            if m is None or m[0] != ">" and m.start() >= last[m[0]]:
+                end = source.find(">", name.end()) + 1  # a quote that nothing closes is a letter like any other
+                break
+            if m[0] == ">":
+                end = m.end()
+                break
+            at = source.find(m[0], m.end()) + 1
+        return end or None, name[0].lower(), closing, source[name.end() : end - 1]
+
+    def _start(self, tag: str, attributes: str):
+        if tag in BLOCK and tag != "br":
+            self._end(("p",), _P_SCOPE)
+        if tag in ENDS:
+            self._end(*ENDS[tag])
+        if tag in ("html", "body") and self._open_at.get(tag):
+            return
+        node = self._add(tag, attributes)
+        if tag == "body":
+            self.body = node
+        if tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK - VOID:
+            self._open_at.setdefault(tag, []).append(len(self._stack))
+            self._stack.append(node)
 
-    def _text(self, node: int, raw: str):
-        self.texts.append((node, _html.unescape(raw) if "&" in raw else raw))
+    def _end(self, tags, scope):
+        """Closes the innermost open element of ``tags``, unless one of ``scope`` is open inside it."""
+        depth = lambda names: max((self._open_at[t][-1] for t in names if self._open_at.get(t)), default=0)
+        found = depth(tags)
+        if found and found > depth(scope):
+            for node in reversed(self._stack[found:]):
+                self._open_at[self.tags[node]].pop()
+            del self._stack[found:]
+
+    def _text(self, raw: str):
+        self.texts.append((self._stack[-1], _html.unescape(raw) if "&" in raw else raw))
 
 
 def densities(page: Page):
-    """(density, sum of the children's densities) of every element; pruned elements count for nothing."""
+    """(density, sum of the children's densities, characters, characters in links) of every element.
+
+    Pruned elements count for nothing; a container with a boilerplate name has a tenth of its density, and what
+    stands below it counts a tenth as well.
+    """
     n = len(page.tags)
     chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -174,19 +194,22 @@ def densities(page: Page):
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             ratio = c / max(1, lc) * t / max(1, lt)
             # The base is e without links and grows with them; ratios below 1 stay small, not negative.
-            density[i] = c / t * (math.log(max(ratio, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1.0))
+            density[i] = c / t * (math.log(max(ratio, 1.0) + 1e-9) / math.log(max(base, 1.0) + 1.0)) * (NAME_WEIGHT if page.named[i] else 1.0)
         if i:
             total[page.parents[i]] += density[i]
     for node, text in page.texts:
         if text.strip() and not page.pruned[node]:
             total[node] += len(text.strip())  # text that stands beside the children, as a child of its own
-    return density, total
+    weight = [1.0] * n
+    for i in range(1, n):
+        weight[i] = weight[page.parents[i]] * (NAME_WEIGHT if page.named[i] else 1.0)
+    return density, [t * w for t, w in zip(total, weight, strict=True)], chars, link_chars
 
 
 def main_text(source: str) -> str:
     """The article of a page, blocks joined by one space; empty if the page has no text outside boilerplate."""
     page = Page(source)
-    density, total = densities(page)
+    density, total, chars, link_chars = densities(page)
     n = len(page.tags)
     below = [False] * n
     below[page.body] = True
@@ -200,16 +223,22 @@ def main_text(source: str) -> str:
     while path[-1] not in (page.body, 0):
         path.append(page.parents[path[-1]])
     threshold = min((density[i] for i in path if density[i] > 0), default=0.0)
-    # The outermost article or main on the way is whole; else neighbours of the way join it by the threshold.
-    roots = [i for i in path if page.tags[i] in ROOTS]
-    core, way = (roots[-1] if roots else best), set(path)
+    # The outermost article or main on the way is looked at whole; else neighbours of the way join it by the threshold.
+    roots, way = [i for i in path if page.tags[i] in ROOTS], set(path)
+    core = roots[-1] if roots else best
     chosen = [False] * n
     for i in range(n):
         up = page.parents[i]
         if page.pruned[i] or not below[i]:
             continue
-        joins = up in way and i not in way and not roots and density[i] >= threshold
-        chosen[i] = i == core or joins or (up >= 0 and chosen[up])
+        dense = density[i] >= threshold
+        if i == core:
+            chosen[i] = True
+        elif up >= 0 and chosen[up]:
+            # Below the core, links and what its name calls boilerplate must be as dense as the threshold.
+            chosen[i] = i in way or dense or not (page.named[i] or page.tags[i] != "a" and 2 * link_chars[i] > chars[i])
+        else:
+            chosen[i] = up in way and i not in way and not roots and dense
     return " ".join("".join(text if chosen[node] else " " for node, text in page.texts).split())
 
 

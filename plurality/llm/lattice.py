@@ -7,8 +7,8 @@ compared by cosine in double precision.
 
 Equal vectors are one row with a count. No pair leaves a task: a cell yields, for each vector, how many
 vectors it links with, and a forest that ties the linked ones. A pair that meets in several tables or cells
-is counted in the first alone, which both vectors' keys tell. Cells above ``BLOCK`` rows are cut into blocks
-whose pairs are compared in tasks of their own.
+is counted in the first alone, which both vectors' keys tell. Cells above ``BLOCK`` homes or ``PROBES`` probing
+rows are cut into blocks whose pairs are compared apart, so no group holds more than some thousands of vectors.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ COSINE = 0.9
 #: The plan: rows wanted in a cell, chance wanted of finding a pair just at the least cosine, seed, and
 #: simulated pairs it is planned with (synthetic: no rows of the data).
 CELL_ROWS, RECALL, SEED, TRIALS = 64, 0.98, 11, 1200
-BLOCK = 512
+#: Homes of a cell, and probing rows of a cell, from which it is cut into blocks.
+BLOCK, PROBES = 512, 2048
 
 
 def _decode_d8(x: np.ndarray) -> np.ndarray:
@@ -184,8 +185,9 @@ def _compare(shape, cosine, single):
                     own = home[s:e].astype(bool)
                     left = np.flatnonzero(own & (side[s:e] == 0)) + s
                     right = np.flatnonzero(own & (side[s:e] == 1)) + s
-                    others = right if len(right) else np.concatenate([left, np.flatnonzero(~own) + s])
-                    if x[s] != y[s] and not len(right) or not len(left) or len(others) < 1:
+                    visitors = np.flatnonzero(~own) + s
+                    others = right if len(right) else np.concatenate([left, visitors]) if x[s] == y[s] else visitors
+                    if not len(left) or not len(others):
                         continue
                     i, j = np.nonzero(unit[left] @ unit[others].T >= cosine)
                     i, j = left[i], others[j]
@@ -279,14 +281,21 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
 
 def _links(classes: DataFrame, shape, cosine: float, single: bool) -> DataFrame:
     placed = classes.select("id", "n", "v").mapInArrow(_spread(shape), "key long, tab int, home boolean, id long, n long, v binary")
-    large = placed.filter("home").groupBy("key").agg(F.count(F.lit(1)).alias("homes")).filter(F.col("homes") > BLOCK)
-    large = materialize(large.select("key", F.ceil(F.col("homes") / F.lit(BLOCK // 2)).cast("int").alias("blocks")), "e8-large")
-    cut = placed.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    homes = F.transform(every, lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y"), (F.col("block") > o).cast("int").alias("side")))
-    probing = F.transform(every, lambda o: F.struct(o.alias("x"), o.alias("y"), F.lit(0).alias("side")))
-    met = cut.select("key", "tab", "home", "id", "n", "v", F.explode(F.when(F.col("home"), homes).otherwise(probing)).alias("g"))
+    homes, probes = F.count_if("home"), F.count_if(~F.col("home"))
+    large = placed.groupBy("key").agg(homes.alias("homes"), probes.alias("probes")).filter((F.col("homes") > BLOCK) | (F.col("probes") > PROBES))
+    deal = lambda c, size: F.ceil(F.col(c) / F.lit(size)).cast("int").alias(c)
+    large = materialize(large.select("key", deal("homes", BLOCK // 2), deal("probes", PROBES)), "e8-large")
+    # In a large cell homes and probing rows have blocks of their own; where nobody is at home, nobody is sent.
+    cut = placed.join(large, "key", "left").withColumn("homes", F.coalesce("homes", F.lit(1))).withColumn("probes", F.coalesce("probes", F.lit(1))).filter("homes > 0")
+    cut = cut.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("home"), F.col("homes")).otherwise(F.greatest("probes", F.lit(1)))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.greatest(F.col(c), F.lit(1)) - 1)
+    group = lambda x, y, side: F.struct(x.alias("x"), y.alias("y"), side.alias("side"))
+    block, none = F.col("block"), F.lit(0)
+    among = F.transform(upto("homes"), lambda o: group(F.least(block, o), F.greatest(block, o), (block > o).cast("int")))
+    apart = F.col("probes") > 1  # probing rows meet homes in groups (home block, homes + probing block), else in (home block, home block)
+    visited = F.when(apart, F.transform(upto("probes"), lambda j: group(block, F.col("homes") + j, none))).otherwise(F.slice(among, 1, 0))
+    probing = F.transform(upto("homes"), lambda o: group(o, F.when(apart, F.col("homes") + block).otherwise(o), none))
+    met = cut.select("key", "tab", "home", "id", "n", "v", F.explode(F.when(F.col("home"), F.concat(among, visited)).otherwise(probing)).alias("g"))
     met = met.select("key", "g.x", "g.y", "g.side", "tab", "home", "id", "n", "v").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return met.mapInArrow(_compare(shape, cosine, single), "a long, b long, n long")
 

@@ -14,11 +14,13 @@ from plurality.llm.common import WORD, let, materialize, table, text_or_empty
 
 WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: A line is boilerplate in more than MIN_DOCS documents of its host that are more than 1/SHARE of them.
-MIN_DOCS, SHARE = 20, 50
+#: A line is boilerplate in more than MIN_DOCS documents of its host that are more than 1/SHARE of them, and in
+#: more than MANY_DOCS of them whatever the host's size.
+MIN_DOCS, SHARE, MANY_DOCS = 20, 50, 10_000
 #: A document is depleted when more than this percentage of its words stood in such lines.
 MAX_REMOVED_PERCENT = 50
-SALTS = 16
+#: Least number of tasks that a frequent line is met in, and documents for which one more is added.
+SALTS, SALT_DOCS = 16, 1_000_000
 
 
 def repeated_words(words: Column) -> Column:
@@ -49,25 +51,29 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
 
 
-def line_quality(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", min_docs=MIN_DOCS, share=SHARE, max_removed=MAX_REMOVED_PERCENT) -> DataFrame:
-    """One row for each row of ``docs`` with its counts, ``removed_words``, ``base_failed`` and ``kept``.
+def _host(host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("null"))
 
-    Null text counts as empty (0 words: fails), null hosts are one host, rows that repeat whole count as
-    documents of their own and get equal results, an empty table gives no rows. Only named columns are
-    read. Very long texts are single rows: their arrays are bounded by their own length.
-    """
+
+def _line_hashes(text: Column) -> Column:
+    """(h, w) of each line: the hash of its normalised form, null for a blank one, and its words."""
+    return F.transform(
+        F.transform(F.split(normalised(text), "\n", -1), lambda x: F.trim(x)),
+        lambda x: F.struct(F.when(x != "", F.xxhash64(x)).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w")),
+    )
+
+
+def _scan(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", min_docs=MIN_DOCS, share=SHARE) -> tuple[DataFrame, DataFrame]:
+    """Counts and lines of every row, and which of its lines are boilerplate of its host."""
     text = text_or_empty(text_col)
     dup_lines = let(F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     in_words = let(
         F.regexp_extract_all(F.col("text"), F.lit(WORD), 0),
         lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")),
     )
-    lines = F.transform(
-        F.filter(F.transform(F.split(normalised(F.col("text")), "\n", -1), lambda x: F.trim(x)), lambda x: x != ""),
-        lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) - F.length(F.replace(x, F.lit(" "))) + 1).alias("w")),
-    )
+    lines = F.filter(_line_hashes(F.col("text")), lambda x: x["h"].isNotNull())
     scanned = materialize(
-        docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(host_col).cast("string")), F.lit("null")).alias("host"), text.alias("text")).select(
+        docs.select(F.col(id_col).alias("doc_id"), _host(host_col).alias("host"), text.alias("text")).select(
             "doc_id",
             "host",
             F.xxhash64("doc_id", "host", "text").alias("row_key"),
@@ -86,17 +92,29 @@ def line_quality(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col=
         .agg(F.count(F.lit(1)).alias("docs"))
         .filter(F.col("docs") > min_docs)
         .join(hosts, "host")
-        .filter(F.col("docs") * share > F.col("host_docs"))
-        .select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    )
-    # A line that a third of all documents share meets its row in SALTS tasks, not in one.
-    removed = (
-        scanned.select("host", "row_key", F.pmod("row_key", F.lit(SALTS)).cast("int").alias("salt"), F.explode("lines").alias("line"))
-        .select("host", "row_key", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-        .join(frequent, ["host", "h", "salt"])
-        .groupBy("host", "row_key")
-        .agg(F.sum("w").cast("long").alias("lost"))
+        .filter((F.col("docs") * share > F.col("host_docs")) | (F.col("docs") > MANY_DOCS))
     )
+    return scanned, _met(scanned, frequent.select("host", "h"), hosts.agg(F.sum("host_docs")).first()[0] or 0)
+
+
+def _met(scanned: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
+    """(host, row_key, h, w) of every line of ``scanned`` that is ``frequent``; a hot line meets its rows in many tasks."""
+    salts = SALTS + n // SALT_DOCS
+    spread = frequent.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    lines = scanned.select("host", "row_key", F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("line"))
+    return lines.select("host", "row_key", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(spread, ["host", "h", "salt"]).drop("salt")
+
+
+def line_quality(docs: DataFrame, *, max_removed=MAX_REMOVED_PERCENT, **options) -> DataFrame:
+    """One row for each row of ``docs`` with its counts, ``removed_words``, ``base_failed`` and ``kept``.
+
+    Null text counts as empty (0 words: fails), null hosts are one host, rows that repeat whole count as
+    documents of their own and get equal results, an empty table gives no rows. Only named columns are
+    read. Very long texts are single rows: their arrays are bounded by their own length. Options: ``id_col``,
+    ``text_col``, ``host_col``, ``min_docs``, ``share``.
+    """
+    scanned, met = _scan(docs, **options)
+    removed = met.groupBy("host", "row_key").agg(F.sum("w").cast("long").alias("lost"))
     # Rows that repeat whole share a key, and so a sum: each has its part of it.
     copies = scanned.groupBy("host", "row_key").agg(F.count(F.lit(1)).alias("copies"))
     removed = removed.join(copies, ["host", "row_key"]).select("host", "row_key", F.expr("lost div copies").alias("lost"))
@@ -110,6 +128,22 @@ def line_quality(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col=
     )
 
 
+def without_boilerplate(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", **options) -> DataFrame:
+    """``docs`` with the boilerplate lines of each host cut out of ``text_col``; all other lines, blank ones too, as they were.
+
+    Null stays null. A row brings the hashes of its own boilerplate lines to its text, so nothing larger than a
+    document is gathered.
+    """
+    scanned, met = _scan(docs, id_col=id_col, text_col=text_col, host_col=host_col, **options)
+    gone = met.groupBy(F.col("host").alias("_host"), F.col("row_key").alias("_key")).agg(F.collect_set("h").alias("_gone"))
+    keyed = docs.withColumn("_host", _host(host_col)).withColumn("_key", F.xxhash64(F.col(id_col), F.col("_host"), text_or_empty(text_col)))
+    lines = F.arrays_zip(F.split(F.col(text_col), "\n", -1).alias("line"), F.transform(_line_hashes(F.col(text_col)), lambda x: x["h"]).alias("h"))
+    kept = F.filter(lines, lambda x: x["h"].isNull() | ~F.array_contains("_gone", x["h"]))
+    cut = F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    out = keyed.join(gone, ["_host", "_key"], "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(cut))
+    return out.select(*docs.columns)
+
+
 def op6_line_frequency_quality(spark, sf_dir):
     return line_quality(table(spark, sf_dir, "documents"))
 
@@ -125,7 +159,7 @@ dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM raw W
 norm AS (SELECT doc_id, source, trim(unnest(string_split(regexp_replace(regexp_replace(lower(text), '[0-9]+', '0', 'g'), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)))) AS line FROM d),
 hosts AS (SELECT source, count(*) AS n FROM d GROUP BY 1),
 freq AS (SELECT n.source, n.line FROM norm n JOIN hosts h ON n.source IS NOT DISTINCT FROM h.source WHERE line <> ''
-  GROUP BY n.source, n.line, h.n HAVING count(DISTINCT doc_id) > 20 AND count(DISTINCT doc_id) * 50 > h.n),
+  GROUP BY n.source, n.line, h.n HAVING count(DISTINCT doc_id) > 20 AND (count(DISTINCT doc_id) * 50 > h.n OR count(DISTINCT doc_id) > 10000)),
 lost AS (SELECT n.doc_id, sum(len(n.line) - len(replace(n.line, ' ', '')) + 1)::BIGINT AS n
   FROM norm n JOIN freq f ON n.source IS NOT DISTINCT FROM f.source AND n.line = f.line GROUP BY 1),
 r AS (SELECT d.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,

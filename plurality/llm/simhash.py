@@ -302,12 +302,5 @@ def _hex(name):
     return F.lower(F.lpad(F.hex(F.col(name)), 16, "0"))
 
 
-def keep_one(docs: DataFrame, *, id_col="doc_id", text_col="text", distance: int = DISTANCE) -> DataFrame:
-    """The rows of ``docs`` whose id is its component's smallest; rows with a null id stay."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, distance=distance)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, docs[id_col] == gone["doc_id"], "left_anti")
-
-
 def op8_simhash_pigeonhole(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))

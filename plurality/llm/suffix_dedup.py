@@ -244,7 +244,12 @@ def _clipped(rows, lengths) -> np.ndarray:
 
 
 def _by_doc(spots, shards):
-    return _deal(spots, _mix(spots["doc"].copy().view(np.uint64)), shards) if len(spots) else ()
+    return _deal(spots, _text_key(spots["doc"].copy(), spots["th"].copy()), shards) if len(spots) else ()
+
+
+def _text_key(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """What texts and their spans are dealt by: id and text together, so that one id on many texts is spread."""
+    return _mix(_mix(doc.view(np.uint64)) ^ th.view(np.uint64))
 
 
 def _shard_runs(batches):
@@ -488,7 +493,7 @@ def _shard_of(shards):
         import pyarrow as pa
 
         for batch in batches:
-            to = (_mix(batch.column(2).to_numpy().view(np.uint64).copy()) % np.uint64(shards)).astype(np.int32)
+            to = (_text_key(batch.column(2).to_numpy().copy(), batch.column(3).to_numpy().copy()) % np.uint64(shards)).astype(np.int32)
             yield pa.record_batch([*batch.columns, pa.array(to)], ["doc_id", "text", "doc", "th", "shard"])
 
     return run

@@ -34,3 +34,20 @@ def test_links_recall_and_edges(spark):
     assert sum(got[i]["component_id"] == forest.find(i) for i in range(len(rows))) >= 0.97 * len(rows)
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in range(5000, 5005))
     assert got[5006]["component_id"] == 5005 and not got[5006]["kept"]
+
+
+def test_crowded_cells_are_cut_by_homes_and_probing_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    centre = lattice.unit_rows(rng.normal(size=(3, 32)))
+    near = lattice.unit_rows(np.repeat(centre, 120, axis=0) + 0.06 * rng.normal(size=(360, 32)))
+    vectors = spark.createDataFrame([(i, v.tolist(), "x", 1) for i, v in enumerate(near)], "vec_id long, embedding array<double>, key string, home int")
+    whole = sorted(map(tuple, lattice.near_duplicates(vectors).collect()))
+    monkeypatch.setattr(lattice, "BLOCK", 16)
+    monkeypatch.setattr(lattice, "PROBES", 8)
+    assert sorted(map(tuple, lattice.near_duplicates(vectors).collect())) == whole
+    unit = lattice.unit_rows(near)
+    want = ((unit @ unit.T >= 0.9).sum(1) - 1).sum()
+    assert 0.9 * want <= sum(r[1] for r in whole) <= want and want > 1000
+    assert lattice.near_duplicates(vectors.limit(0)).count() == 0
+    odd = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert {(r["vec_id"], r["n_links"], r["kept"]) for r in lattice.near_duplicates(odd).collect()} == {(None, 0, False), (3, 0, True)}

@@ -154,6 +154,14 @@ def test_line_quality_matches_brute_force(spark):
     assert line_quality.line_quality(docs.limit(0)).count() == 0
 
 
+def test_boilerplate_lines_are_cut_and_nothing_else(spark):
+    rows = [(i, f"All rights reserved {2000 + i}.\n\nLine of document {chr(97 + i % 26)}{i} alone\n  all RIGHTS reserved 7. ", "en", "a") for i in range(30)]
+    rows += [(100, "All rights reserved 1.\nrare", "en", "b"), (101, None, "en", "a"), (102, "", "en", None), rows[0]]
+    got = sorted((r["doc_id"], r["text"]) for r in line_quality.without_boilerplate(clashing(spark, rows), min_docs=20).collect())
+    want = [(i, t if s != "a" or t is None else f"\nLine of document {chr(97 + i % 26)}{i} alone") for i, t, _, s in rows]
+    assert got == sorted(want, key=lambda r: r[0])
+
+
 def test_html(spark):
     page = '<html><body><header>Top</header><div class="side-menu"><a href=x>a</a></div><div class="has-sidebar"><article><h1>Title</h1><p><b>One &amp; two<br><p>wor<i>ld</i>&nbsp;x</article></div><div id=comments>no</div><form>f</form><footer>z</footer><script>if(a<b){"</p>"}</script>'
     assert html_text.main_text(page) == "Title One & two world x"
