@@ -43,6 +43,27 @@ def unknown_values(df: DataFrame, column: str, allowed) -> DataFrame:
     return df.select(column).distinct().filter(~F.col(column).isin(list(allowed)))
 
 
+def label_spellings(df: DataFrame, column: str, wanted) -> DataFrame:
+    """(label, spellings) of the wanted labels that do not occur in exactly one spelling, whatever case or blanks."""
+    found = df.select(F.lower(X.strip(F.col(column))).alias("label"), F.col(column).alias("_s")).groupBy("label").agg(F.countDistinct("_s").alias("spellings"))
+    labels = df.sparkSession.createDataFrame([(w.strip().lower(),) for w in wanted], "label string")
+    return labels.join(found, "label", "left").select("label", F.coalesce("spellings", F.lit(0)).alias("spellings")).filter("spellings <> 1")
+
+
+def join_one_to_one(left: DataFrame, right: DataFrame, key) -> DataFrame:
+    """The inner join of two tables of which each has a key once; repeated keys on a side are an error before it."""
+    for name, side in (("left", left), ("right", right)):
+        assert_empty(duplicate_keys(side, key), f"repeated keys on the {name} side")
+    return left.join(right, key, "inner")
+
+
+def group_sizes_outside(df: DataFrame, column: str, bounds: dict[str, tuple[int, int]]) -> DataFrame:
+    """(group, rows) of the groups in ``bounds`` whose number of rows lies outside its (least, most); absent groups have 0."""
+    limits = df.sparkSession.createDataFrame([(k, *v) for k, v in bounds.items()], "group string, least bigint, most bigint")
+    sizes = df.groupBy(F.col(column).cast("string").alias("group")).agg(F.count(F.lit(1)).alias("rows"))
+    return limits.join(sizes, "group", "left").withColumn("rows", F.coalesce("rows", F.lit(0))).filter("rows < least or rows > most").select("group", "rows")
+
+
 def duplicate_keys(df: DataFrame, key) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 

@@ -38,6 +38,25 @@ def write_stamped_csv(df: DataFrame, path: str, status: str) -> None:
     df.select(F.lit(status).alias("analysis_status"), "*").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
 
 
+def write_stable_csv(df: DataFrame, path: str, order: list[str], places: int | None = None) -> None:
+    """Gzip CSV whose part files, read in name order, have the same bytes for the same rows.
+
+    Rows are range-sorted by ``order`` (all columns break ties), nulls are empty, and doubles are written with
+    ``places`` decimal places or, by default, as the shortest text that reads back to the same number.
+    """
+    text = lambda c, t: F.format_string(f"%.{places}f", c) if t == "double" and places is not None else F.col(c).cast("string")
+    rest = [c for c in df.columns if c not in order]
+    rows = df.orderBy(*order, *rest).select(*[F.when(F.col(c).isNotNull(), text(c, t)).alias(c) for c, t in df.dtypes])
+    rows.write.mode("overwrite").option("header", True).option("compression", "gzip").option("emptyValue", '""').option("nullValue", "").csv(path)
+
+
+def require_hash(path: str, expected: str) -> None:
+    """Fails unless the file's SHA-256 is the expected one."""
+    found = file_hash(path)
+    if found != expected:
+        raise ValueError(f"{path}: SHA-256 {found}, expected {expected}")
+
+
 def content_hash(df: DataFrame) -> DataFrame:
     """One row (rows, hash): a hash of the contents that no order of rows or files changes."""
     h = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256)

@@ -120,3 +120,38 @@ def test_files(spark, tmp_path):
     files.write_json({"x": float("nan"), "ok": True}, str(tmp_path / "x.json"))
     assert files.read_json(str(tmp_path / "x.json")) == {"x": None, "ok": True}
     assert "| 1 | a |" in files.markdown_table(d)
+
+
+def test_planted_violations_are_found(spark):
+    split = spark.createDataFrame([("t1", "dev"), ("t1", "test"), ("t2", "dev")], "text string, split string")
+    assert [tuple(r) for r in G.leaks(split).collect()] == [("t1", 2)]
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,), (3,)], "k int")
+    assert [r[0] for r in K.shared_keys(a, b, ["k"]).collect()] == [2] and sorted(r[0] for r in K.symmetric_difference(a, b).collect()) == [1, 3]
+    with pytest.raises(K.ConstraintError, match="right"):
+        K.join_one_to_one(a, b.unionByName(b), ["k"])
+    assert K.join_one_to_one(a, b, ["k"]).count() == 1
+    labels = spark.createDataFrame([("Care",), (" care",), ("loyal",)], "x string")
+    assert sorted(tuple(r) for r in K.label_spellings(labels, "x", ["care", "loyal", "purity"]).collect()) == [("care", 2), ("purity", 0)]
+    assert sorted(tuple(r) for r in K.group_sizes_outside(split, "split", {"dev": (1, 1), "test": (1, 5), "none": (1, 2)}).collect()) == [("dev", 2), ("none", 0)]
+    numbers = spark.createDataFrame([(1.0,), (2.5,), (3.0,), (None,)], "n double")
+    assert K.not_whole(numbers, "n", 2).count() == 3
+    with pytest.raises(K.ConstraintError, match="missing"):
+        K.require_columns(a, ["k", "v"])
+
+
+def test_stable_csv_and_checksums(spark, tmp_path):
+    import gzip
+
+    rows = [(i % 7, i / 3, None if i % 5 == 0 else f"v{i}") for i in range(200)]
+    bytes_of = lambda p: [gzip.decompress(f.read_bytes()) for f in sorted(p.glob("*.gz"))]
+    for name, own in (("a", rows), ("b", rows[::-1])):
+        files.write_stable_csv(spark.createDataFrame(own, "k int, x double, v string").repartition(3), str(tmp_path / name), ["k"])
+    first, again = b"".join(bytes_of(tmp_path / "a")), b"".join(bytes_of(tmp_path / "b"))
+    assert first == again
+    back = spark.read.option("header", True).schema("k int, x double, v string").csv(str(tmp_path / "a"))
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+    one = tmp_path / "one"
+    one.write_text("x")
+    files.require_hash(str(one), files.file_hash(str(one)))
+    with pytest.raises(ValueError, match="expected"):
+        files.require_hash(str(one), "0")
