@@ -12,7 +12,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STEPS = 1024
+#: Shares that the values of a key are cut into before they are ranked.
+CUTS = 128
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str) -> DataFrame:
@@ -29,22 +30,46 @@ def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list, v
     return own.join(totals, group).withColumn(out, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
 
 
+def _cuts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """(keys, _cuts): values of the data that part a key's rows into near-equal shares, ascending and distinct."""
+    own = [i / CUTS for i in range(CUTS + 1)]
+    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, own, 10 * CUTS)).alias("_cuts"))
+
+
+def _with_cuts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """Adds ``_cuts``; one row a key meets the data."""
+    cuts = _cuts(df, keys, value)
+    return df.join(cuts, keys) if keys else df.withColumn("_k", F.lit(1)).join(cuts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def _slot(value: Column) -> Column:
+    """2 i between cuts i - 1 and i, 2 i + 1 at cut i: never falls as the value grows, and odd slots hold one value."""
+    cuts = F.coalesce(F.col("_cuts"), F.array())
+    return 2 * F.size(F.filter(cuts, lambda c: c < value)) + F.coalesce(F.array_contains(cuts, value), F.lit(False)).cast("int")
+
+
 def global_rank(df: DataFrame, score: str | None, id_col: str, *, keys=(), descending=False, out="rank") -> DataFrame:
-    """Adds ``out`` = 1, 2, ... by score, then by id; ``id_col`` is hex text, whose prefixes make the buckets."""
-    prefix = F.substring(id_col, 1, 3)
+    """Adds ``out`` = 1, 2, ... by score, then by id; ``id_col`` is hex text, whose prefixes part the rows of one score.
+
+    Buckets are cut by the scores' own quantiles, so their number does not grow with the distinct scores. Null
+    scores stand first.
+    """
+    prefix, keys = F.substring(id_col, 1, 3), list(keys)
     if score is None:
-        bucket, order = F.struct(F.lit(0).alias("s"), prefix.alias("p")), [F.col(id_col)]
+        placed, bucket, order = df, prefix, [F.col(id_col)]
     else:
         s = -F.col(score) if descending else F.col(score)
-        bucket, order = F.struct(s.alias("s"), prefix.alias("p")), [s, F.col(id_col)]
-    ranked = running_total(df.withColumn("_one", F.lit(1).cast("bigint")), list(keys), bucket, order, "_one", "_rank0")
-    return ranked.withColumn(out, F.col("_rank0") + 1).drop("_rank0", "_one")
+        slot = _slot(s)
+        placed, order = _with_cuts(df, keys, s), [s, F.col(id_col)]
+        bucket = F.struct(slot.alias("s"), F.when(slot % 2 == 1, prefix).otherwise("").alias("p"))
+    ranked = running_total(placed.withColumn("_one", F.lit(1).cast("bigint")), keys, bucket, order, "_one", "_rank0")
+    return ranked.withColumn(out, F.col("_rank0") + 1).drop("_rank0", "_one", "_cuts")
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
     """(keys, value, out): the mean rank of each distinct value, ties sharing it."""
-    by_value = counts.groupBy(*keys, value).agg(F.sum(weight).alias("_w"))
-    ranked = running_total(by_value, keys, F.floor(F.col(value) * STEPS), [F.col(value)], "_w", "_below")
+    by_value = _with_cuts(counts.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, F.col(value))
+    ranked = running_total(by_value, keys, _slot(F.col(value)), [F.col(value)], "_w", "_below")
     return ranked.select(*keys, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out))
 
 

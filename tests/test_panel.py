@@ -155,3 +155,31 @@ def test_stable_csv_and_checksums(spark, tmp_path):
     files.require_hash(str(one), files.file_hash(str(one)))
     with pytest.raises(ValueError, match="expected"):
         files.require_hash(str(one), "0")
+
+
+def test_ranks_of_continuous_and_tied_scores(spark):
+    """Ranks equal a plain sort, and the buckets that meet in one window do not grow with the distinct scores."""
+    rnd = random.Random(7)
+    scores = [rnd.lognormvariate(0, 4) for _ in range(3000)] + [0.25] * 1500 + [-1e6, 1e9, None, None]
+    rows = [(k, f"{rnd.getrandbits(64):016x}", s) for k in "ab" for s in scores]
+    df = spark.createDataFrame(rows, "k string, id string, s double").cache()
+    for down in (False, True):
+        sign = -1 if down else 1
+        own = sorted(rows, key=lambda r: (r[2] is not None, sign * (r[2] or 0), r[1]))
+        ranked = {r["id"]: r["rank"] for r in S.global_rank(df, "s", "id", descending=down).collect()}
+        assert [ranked[r[1]] for r in own] == list(range(1, len(rows) + 1))
+        ranked = {r["id"]: r["rank"] for r in S.global_rank(df, "s", "id", keys=["k"], descending=down).collect()}
+        assert all([ranked[r[1]] for r in own if r[0] == k] == list(range(1, len(scores) + 1)) for k in "ab")
+    slots = S._with_cuts(df, ["k"], F.col("s")).select("k", S._slot(F.col("s")).alias("slot"), "s")
+    assert slots.groupBy("k").agg(F.countDistinct("slot").alias("n")).filter(F.col("n") > 2 * S.CUTS + 3).isEmpty()
+    between = slots.filter("slot % 2 = 0").groupBy("k", "slot").count()
+    assert between.agg(F.max("count")).first()[0] < 8 * len(scores) / S.CUTS
+    assert slots.filter("slot % 2 = 1").groupBy("k", "slot").agg(F.countDistinct("s").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_mean_ranks_outside_the_unit_interval(spark):
+    rnd = random.Random(8)
+    values = [rnd.choice([-3.5, 0.0, 17.0, 4e5]) if rnd.random() < 0.5 else rnd.gauss(0, 1e4) for _ in range(2000)]
+    got = {r["v"]: r["r"] for r in S.average_ranks(spark.createDataFrame([("x", v, 1) for v in values], "k string, v double, w int"), ["k"], "v", "w", "r").collect()}
+    own = sorted(values)
+    assert all(abs(got[v] - (own.index(v) + 1 + (own.count(v) - 1) / 2)) < 1e-9 for v in set(values))
