@@ -264,5 +264,9 @@ SQL["constant_columns"] = "SELECT * FROM (SELECT 'o_orderstatus' AS \"column\",
 SQL["duplicate_keys"] = "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1"
 SQL["blank_identity"] = q(VOTES, "SELECT bucket, count(*)::BIGINT AS rows FROM raw WHERE confidence = '' GROUP BY ALL")
 SQL["vocabulary_difference"] = "(SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'es') UNION ALL (SELECT source FROM documents WHERE lang = 'es' EXCEPT SELECT source FROM documents WHERE lang = 'en')"
-SQL["scalar_functions"] = r"""SELECT doc_id, regexp_replace(substr(text, 1, 60), '\r\n|[\n\r\x0b\x0c]', ' ', 'g') AS line, printf('%.3f', n_chars / 7.0::DOUBLE) AS number, upper(lang[1]) || lower(lang[2:]) AS title,
+SQL["scalar_functions"] = r"""SELECT doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]', ' ', 'g') AS line, printf('%.3f', n_chars / 7.0::DOUBLE) AS number, upper(lang[1]) || lower(lang[2:]) AS title,
   round_even(n_chars / 10.0::DOUBLE, 0)::BIGINT AS half_even, n_chars % 2 = 0 AS flag, 'source+cell+name+2' AS parts FROM documents"""
+SQL["evidence_fingerprint"] = """WITH h AS (SELECT sha256('{"item_id":"' || concat_ws(':', conv_id, turn) || '","variant":"' || CASE WHEN role = 'assistant' THEN 'strict' ELSE 'canonical' END || '"'
+    || coalesce(',"state":"' || sha256(text) || '"', '') || '}') AS h FROM conversations),
+b AS (SELECT h[:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
+SELECT sum(n)::BIGINT AS records, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b"""

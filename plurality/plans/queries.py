@@ -556,9 +556,8 @@ def vocabulary_difference(spark, sf_dir):
 @query
 def scalar_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    first = F.substring("text", 1, 60)
     return d.select(
-        "doc_id", X.one_line(first).alias("line"), X.number_text(F.col("n_chars") / 7, 3).alias("number"), F.initcap(F.lower(F.col("lang"))).alias("title"),
+        "doc_id", X.one_line(F.col("text")).alias("line"), X.number_text(F.col("n_chars") / 7, 3).alias("number"), F.initcap(F.lower(F.col("lang"))).alias("title"),
         F.bround(F.col("n_chars") / 10).cast("bigint").alias("half_even"), X.as_bool(F.when(F.col("n_chars") % 2 == 0, " TRUE ").otherwise("no")).alias("flag"),
         F.array_join(X.name_parts(F.lit("Source-Cell Name_2")), "+").alias("parts"),
     )
