@@ -270,3 +270,8 @@ SQL["evidence_fingerprint"] = """WITH h AS (SELECT sha256('{"item_id":"' || conc
     || coalesce(',"state":"' || sha256(text) || '"', '') || '}') AS h FROM conversations),
 b AS (SELECT h[:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
 SELECT sum(n)::BIGINT AS records, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b"""
+SQL["release_frame"] = "WITH " + ITEMS.strip() + " SELECT item_id, content_id, bucket, source, n_annotators, n_votes, votes_BULK IN (0, n_votes) AS unanimous FROM items WHERE n_annotators >= 3"
+SQL["label_groups"] = "WITH " + VOTES.strip() + """ SELECT bucket, count(*) AS votes,
+  (count(*) FILTER (confidence <> '' AND list_has_any(string_split(labels, ','), ['A', 'R'])))::BIGINT AS returned_chosen, count(*) FILTER (confidence <> '') AS returned_answered,
+  (count(*) FILTER (confidence <> '' AND list_has_any(string_split(labels, ','), ['O', 'N'])))::BIGINT AS open_chosen, count(*) FILTER (confidence <> '') AS open_answered
+  FROM sem GROUP BY bucket"""

@@ -11,6 +11,7 @@ from plurality.operators import analysis as A
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
 from plurality.operators import inference as I
+from plurality.operators import release as R
 from plurality.operators import resample as B
 from plurality.operators import scores as L
 from plurality.operators import split as G
@@ -154,6 +155,22 @@ def unknown_labels(spark, sf_dir):
     return K.unknown_values(labels, "label", ["A", "N", "F", "O", "BULK"])
 
 
+@query
+def release_frame(spark, sf_dir):
+    own = items(spark, sf_dir).withColumn("unanimous", (F.col("human_BULK") % 1 == 0).cast("int"))
+    return R.release_frame(own, ["item_id", "content_id", "bucket", "source", "n_annotators", "n_votes", "unanimous"], ["unanimous"])
+
+
+@query
+def label_groups(spark, sf_dir):
+    """Votes of each group of labels; a vote without a confidence counts as unclear."""
+    labels, unclear = F.split("labels", ","), F.col("confidence") == ""
+    groups = {"returned": ["A", "R"], "open": ["O", "N"]}
+    own = deduped(spark, sf_dir).select("bucket", *[R.in_group(labels, m, unclear).alias(g) for g, m in groups.items()])
+    counts = [f(F.col(g)).cast("bigint").alias(f"{g}_{n}") for g in groups for n, f in (("chosen", F.sum), ("answered", F.count))]
+    return own.groupBy("bucket").agg(F.count(F.lit(1)).alias("votes"), *counts)
+
+
 # Identities and splits
 
 

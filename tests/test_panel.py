@@ -9,6 +9,7 @@ from plurality.functions import stats as S
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
 from plurality.operators import inference as I
+from plurality.operators import release as R
 from plurality.operators import split as G
 from plurality.sources import files
 
@@ -183,3 +184,13 @@ def test_mean_ranks_outside_the_unit_interval(spark):
     got = {r["v"]: r["r"] for r in S.average_ranks(spark.createDataFrame([("x", v, 1) for v in values], "k string, v double, w int"), ["k"], "v", "w", "r").collect()}
     own = sorted(values)
     assert all(abs(got[v] - (own.index(v) + 1 + (own.count(v) - 1) / 2)) < 1e-9 for v in set(values))
+
+
+def test_release_frame_and_label_groups(spark):
+    df = spark.createDataFrame([("b", 1, ["x"], False), ("a", 0, ["y"], None), ("c", None, ["x"], True)], "item_id string, f int, labels array<string>, unclear boolean")
+    out = R.release_frame(df, ["f", "item_id"], ["f"])
+    assert out.columns == ["f", "item_id"] and [tuple(r) for r in out.collect()] == [(False, "a"), (True, "b"), (None, "c")]
+    with pytest.raises(ValueError):
+        R.release_frame(df, ["item_id", "absent"], [])
+    got = {r[0]: r[1] for r in df.select("item_id", R.in_group(F.col("labels"), ["x", "z"], F.col("unclear"))).collect()}
+    assert got == {"b": 1, "a": 0, "c": None}
