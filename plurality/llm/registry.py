@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, html_text, language, lattice, line_quality, mixing, quotes, secrets, simhash, suffix_dedup
+from plurality.llm import bpe, divergence, html_text, language, lattice, line_quality, mixing, quotes, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op10_suffix_family": suffix_dedup.op10_suffix_family,
+        "op12_systolic_divergence": divergence.op12_systolic_divergence,
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
         "op2_quotation_linking": quotes.op2_quotation_linking,
         "op3_e8_lattice": lattice.op3_e8_lattice,
@@ -23,6 +24,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_suffix_family": suffix_dedup.ORACLE,
+        "op12_systolic_divergence": divergence.ORACLE,
         "op2_quotation_linking": quotes.ORACLE,
         "op6_line_frequency_quality": line_quality.ORACLE,
         "op7_weighted_fair_mix": mixing.ORACLE,
