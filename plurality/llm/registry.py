@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, divergence, html_text, language, lattice, line_quality, mixing, quotes, secrets, simhash, suffix_dedup
+from plurality.llm import bpe, divergence, html_text, language, lattice, line_quality, mixing, packing, quotes, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op10_suffix_family": suffix_dedup.op10_suffix_family,
         "op12_systolic_divergence": divergence.op12_systolic_divergence,
+        "op13_hilbert_packing": packing.op13_hilbert_packing,
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
         "op2_quotation_linking": quotes.op2_quotation_linking,
         "op3_e8_lattice": lattice.op3_e8_lattice,
