@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plurality.llm import bpe, divergence, html_text, language, lattice, line_quality, mixing, packing, quotes, secrets, simhash, suffix_dedup
+from plurality.llm import bpe, collocations, divergence, html_text, language, lattice, line_quality, mixing, packing, quotes, secrets, simhash, suffix_dedup
 
 
 def queries() -> dict:
     return {
         "op10_suffix_family": suffix_dedup.op10_suffix_family,
+        "op11_pcy_collocations": collocations.op11_pcy_collocations,
         "op12_systolic_divergence": divergence.op12_systolic_divergence,
         "op13_hilbert_packing": packing.op13_hilbert_packing,
         "op1_randomness_secrets": secrets.op1_randomness_secrets,
@@ -25,6 +26,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op10_suffix_family": suffix_dedup.ORACLE,
+        "op11_pcy_collocations": collocations.ORACLE,
         "op12_systolic_divergence": divergence.ORACLE,
         "op2_quotation_linking": quotes.ORACLE,
         "op6_line_frequency_quality": line_quality.ORACLE,
