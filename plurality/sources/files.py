@@ -8,7 +8,8 @@ import math
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,18 +34,38 @@ def write_table(df: DataFrame, path: str, partitions: list[str] | None = None) -
     df.write.mode("overwrite").partitionBy(*(partitions or [])).parquet(path)
 
 
-def write_stamped_csv(df: DataFrame, path: str, status: str) -> None:
-    """CSV whose first column says what standing its numbers have."""
-    df.select(F.lit(status).alias("analysis_status"), "*").write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+def write_bucketed(df: DataFrame, name: str, keys: list[str], buckets: int) -> None:
+    """A table of the catalogue that is hashed and sorted by ``keys``: tables with the same keys and buckets join, and
+    are grouped, without an exchange."""
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
-def write_stable_csv(df: DataFrame, path: str, order: list[str], places: int | None = None) -> None:
+def significant(x: Column, digits: int) -> Column:
+    """A number's text with so many significant digits, as C's ``%.{digits}g`` writes its exact binary value.
+
+    Java's formats round the shortest decimal text instead, so this is a small vectorised Python function.
+    """
+    @F.pandas_udf("string")
+    def text(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: f"{v:.{digits}g}", na_action="ignore")
+
+    return F.when(F.isnan(x), "nan").otherwise(text(x.cast("double")))
+
+
+def write_stamped_csv(df: DataFrame, path: str, status: str, digits: int = 10) -> None:
+    """CSV whose first column says what standing its numbers have; doubles have ``digits`` significant digits."""
+    own = [significant(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
+    df.select(F.lit(status).alias("analysis_status"), *own).write.mode("overwrite").option("header", True).option("compression", "gzip").csv(path)
+
+
+def write_stable_csv(df: DataFrame, path: str, order: list[str], places: int | None = None, digits: int | None = None) -> None:
     """Gzip CSV whose part files, read in name order, have the same bytes for the same rows.
 
     Rows are range-sorted by ``order`` (all columns break ties), nulls are empty, and doubles are written with
-    ``places`` decimal places or, by default, as the shortest text that reads back to the same number.
+    ``places`` decimal places, ``digits`` significant digits (17 read back to the same number everywhere) or, by
+    default, as the shortest text that reads back to the same number.
     """
-    text = lambda c, t: F.format_string(f"%.{places}f", c) if t == "double" and places is not None else F.col(c).cast("string")
+    text = lambda c, t: significant(F.col(c), digits) if t == "double" and digits is not None else F.format_string(f"%.{places}f", c) if t == "double" and places is not None else F.col(c).cast("string")
     rest = [c for c in df.columns if c not in order]
     rows = df.orderBy(*order, *rest).select(*[F.when(F.col(c).isNotNull(), text(c, t)).alias(c) for c, t in df.dtypes])
     rows.write.mode("overwrite").option("header", True).option("compression", "gzip").option("emptyValue", '""').option("nullValue", "").csv(path)
