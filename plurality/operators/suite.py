@@ -71,7 +71,7 @@ def flagged(column: str, rows: int | None = None) -> Rule:
     return broken_by(f"{column} everywhere", ~on) if rows is None else Rule(f"{rows} rows {column}", F.count_if(on), rows)
 
 
-def _flat(rules: Iterable) -> list[Rule]:
+def flat(rules: Iterable) -> list[Rule]:
     return [r for x in rules for r in ([x] if isinstance(x, Rule) else x)]
 
 
@@ -87,7 +87,7 @@ def report(df: DataFrame, rules: Iterable) -> DataFrame:
     Rows of a null key and rows over the first of a repeated key count as found. Distinct counts of several
     different keys make Spark expand the rows, once for each key.
     """
-    rules = _flat(rules)
+    rules = flat(rules)
     found = [(F.count(F.lit(1)) - F.count_distinct(_key(r.keys)) if r.keys else F.coalesce(r.found, F.lit(0))).cast("bigint").alias(f"r{i}") for i, r in enumerate(rules)]
     wide = df.agg(*found)
     rows = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.col(f"r{i}").alias("found"), F.lit(r.wanted).cast("bigint").alias("wanted")) for i, r in enumerate(rules)])
@@ -114,7 +114,7 @@ def write_checked(df: DataFrame, path: str, rules: Iterable, *, columns: list[st
     if columns is not None and df.columns != columns:
         raise ConstraintError(f"columns {df.columns}, expected {columns}")
     forbid_name_parts(df, forbidden)
-    rules, watched = _flat(rules), df
+    rules, watched = flat(rules), df
     metrics = []
     for i, r in enumerate(rules):
         if r.keys:  # an observed metric cannot count distinct values: copies are numbered in the rows

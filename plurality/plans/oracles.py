@@ -275,3 +275,33 @@ SQL["label_groups"] = "WITH " + VOTES.strip() + """ SELECT bucket, count(*) AS v
   (count(*) FILTER (confidence <> '' AND list_has_any(string_split(labels, ','), ['A', 'R'])))::BIGINT AS returned_chosen, count(*) FILTER (confidence <> '') AS returned_answered,
   (count(*) FILTER (confidence <> '' AND list_has_any(string_split(labels, ','), ['O', 'N'])))::BIGINT AS open_chosen, count(*) FILTER (confidence <> '') AS open_answered
   FROM sem GROUP BY bucket"""
+
+
+def _suite(source: str, rules: list[tuple[str, str, int]], ctes: str = "") -> str:
+    """(rule, aggregate, wanted) rows as a report."""
+    found = ", ".join(f"({a})::BIGINT AS r{i}" for i, (_, a, _) in enumerate(rules))
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS rule, r{i} AS found, {w}::BIGINT AS wanted, r{i} = {w} AS holds FROM found" for i, (n, _, w) in enumerate(rules))
+    return f"WITH {ctes}found AS (SELECT {found} FROM {source}) {rows}"
+
+
+_outside = lambda c: f"count(*) FILTER ({c} IS NULL OR NOT {c} BETWEEN 0 AND 1)"
+SQL["line_validation"] = _suite(
+    "lineitem",
+    [("unique l_orderkey, l_linenumber", "count(*) - count(DISTINCT (l_orderkey, l_linenumber))", 0), ("l_returnflag present", "count(*) FILTER (l_returnflag IS NULL)", 0)]
+    + [(f"{c} in [0, 1]", _outside(c), 0) for c in ("l_discount", "l_tax", "l_quantity")]
+    + [(f"{c} whole, 1 or more", f"count(*) FILTER ({c} <> floor({c}) OR {c} < 1)", 0) for c in ("l_quantity", "l_extendedprice")]
+    + [("l_linestatus only O", "count(*) FILTER (l_linestatus <> 'O')", 0), ("l_linestatus has O", "max((l_linestatus = 'O')::INT)", 1)],
+)
+_RELEASE = LONG.strip() + ", wide AS (SELECT item_id, content_id, bucket, source, n_annotators, " + ", ".join(f"max(h) FILTER (code = '{c}') AS human_{c}, max(p) FILTER (code = '{c}') AS p_{c}" for c in CODES) + " FROM long GROUP BY ALL), "
+SQL["release_validation"] = _suite(
+    "wide",
+    [("unique item_id", "count(*) - count(DISTINCT item_id)", 0)] + [(f"{c} present", f"count(*) FILTER ({c} IS NULL)", 0) for c in ("content_id", "bucket", "source")]
+    + [(f"{k}_{c} in [0, 1]", _outside(f"{k}_{c}"), 0) for c in CODES for k in ("human", "p")]
+    + [("n_annotators whole, 3 or more", "count(*) FILTER (n_annotators < 3)", 0), ("model only m1", "0", 0), ("model has m1", "1", 1), ("-1 rows", "count(*)", -1), ("unique bucket", "count(*) - count(DISTINCT bucket)", 0)]
+    + [("n_annotators whole, 4 or more", "count(*) FILTER (n_annotators < 4)", 0), ("bucket only O", "count(*) FILTER (bucket <> 'O')", 0), ("bucket has O", "max((bucket = 'O')::INT)", 1), ("unanimous everywhere", "count(*) FILTER (human_BULK NOT IN (0, 1))", 0)],
+    _RELEASE,
+)
+SQL["committed_calls"] = """
+WITH jobs AS (SELECT conv_id || ':' || turn AS item_id, CASE role WHEN 'assistant' THEN 'strict' ELSE 'canonical' END AS variant FROM conversations),
+told AS (SELECT *, (('0x' || substr(sha256('done:' || item_id), 1, 8))::BIGINT % 3 <> 0)::BIGINT AS held FROM jobs)
+SELECT variant, held, count(*) AS calls, min(item_id) AS first_item FROM told GROUP BY ALL"""

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.functions import exprs as X
 from plurality.functions import stats as S
 from plurality.operators import analysis as A
+from plurality.operators import cache as H
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
 from plurality.operators import inference as I
@@ -15,8 +18,10 @@ from plurality.operators import release as R
 from plurality.operators import resample as B
 from plurality.operators import scores as L
 from plurality.operators import split as G
+from plurality.operators import suite as U
 from plurality.plans import oracles
 from plurality.plans.panel import CODES, document_items, order_votes, table
+from plurality.sources import storage
 
 DEV, SENSITIVITY, REPS, BUDGETS = 100, 100, 20, (0, 5, 10, 20, 30)
 QUERIES: dict = {}
@@ -538,9 +543,44 @@ def evidence_fingerprint(spark, sf_dir):
     return I.evidence_fingerprint(jobs(spark, sf_dir), ["item_id", "variant", "state"], "item_id")
 
 
+@query
+def committed_calls(spark, sf_dir):
+    """Two batches with keys in common, and the second again, through a new cache: what it holds and what is left."""
+    calls = H.CallCache(spark, storage.scratch(spark, "calls"))
+    done, half = cache(spark, sf_dir), F.pmod(F.crc32("item_id"), F.lit(4))
+    for batch, part in (("first", half < 3), ("second", half > 0), ("second", half > 0)):
+        with contextlib.suppress(H.ModelDrift):  # the stand-in answers drift, which is found after they are committed
+            calls.commit(done.filter(part), batch)
+    place = {"experiment": "e1", "provider": "offline", "model": "m1"}
+    held = calls.calls(**place).select("variant", "item_id", F.lit(1).alias("held"))
+    left = calls.pending(jobs(spark, sf_dir), **place).select("variant", "item_id", F.lit(0).alias("held"))
+    return held.unionByName(left).groupBy("variant", F.col("held").cast("bigint").alias("held")).agg(F.count(F.lit(1)).alias("calls"), F.min("item_id").alias("first_item"))
+
+
 # Constraints and functions
 
 
+def suite_report(df, rules):
+    return U.report(df, rules).select(F.col("rule"), "found", "wanted", "holds")
+
+
+@query
+def release_validation(spark, sf_dir):
+    """The release suite over the panel's frame, in one scan of it; the last five rules are broken on purpose."""
+    own = wide(spark, sf_dir).withColumn("unanimous", F.col("human_BULK") % 1 == 0).withColumn("model", F.lit("m1"))
+    shares = [f"{k}_{c}" for c in CODES for k in ("human", "p")]
+    good = [U.unique("item_id"), U.present("content_id", "bucket", "source"), U.in_unit(*shares), U.whole("n_annotators", 3), U.only("model", "m1")]
+    bad = [U.row_count(-1), U.unique("bucket"), U.whole("n_annotators", 4), U.only("bucket", "O"), U.flagged("unanimous")]
+    return suite_report(own, [*U.flat(good), *U.flat(bad)])
+
+
+@query
+def line_validation(spark, sf_dir):
+    """Raw rows break rules of their own accord: keys that repeat, quantities outside [0, 1], fractional prices."""
+    rules = [U.unique("l_orderkey", "l_linenumber"), U.present("l_returnflag"), U.in_unit("l_discount", "l_tax", "l_quantity"), U.whole("l_quantity", 1), U.whole("l_extendedprice", 1), U.only("l_linestatus", "O")]
+    return suite_report(table(spark, sf_dir, "lineitem"), rules)
+
+
 @query
 def range_violations(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_quantity")

@@ -1,32 +1,23 @@
-"""An extension: the cache of calls fed by a stream of jobs, idempotent by its key."""
+"""The committed cache of calls, fed by a stream of jobs."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from plurality.operators import inference as I
+from plurality.operators.cache import CallCache, answer
 
 
-def cached_calls(jobs: DataFrame, path: str) -> DataFrame | None:
-    try:
-        return jobs.sparkSession.read.parquet(path)
-    except AnalysisException:  # nothing was appended yet
-        return None
+def answer_stream(jobs: DataFrame, make: Callable[[], Callable[[str, str], str]], path: str, checkpoint: str, **options) -> StreamingQuery:
+    """Calls the predictor for jobs of a stream that the cache at ``path`` does not hold, and commits the answers.
 
-
-def answer_stream(jobs: DataFrame, make: Callable[[], I.Predictor], path: str, checkpoint: str) -> StreamingQuery:
-    """Calls the predictor for jobs of a stream that the cache at ``path`` does not hold, and appends the answers.
-
-    A micro-batch that runs again after a failure finds its own answers and calls for the rest alone.
+    A micro-batch that runs again finds what it committed, and what it had answered without a commit, and calls for
+    the rest alone. ``options`` are those of ``answer``.
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        new = rows.dropDuplicates(I.KEY)
-        cache = cached_calls(rows, path)
-        I.append_calls(I.call(I.pending(new, cache) if cache is not None else new, make), path)
+        answer(CallCache(rows.sparkSession, path), rows, make, **options)
 
     return jobs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
