@@ -1,7 +1,7 @@
 """Statistics as grouped aggregates over (key, value) counts.
 
-Ranks never sort all rows of a key in one task: rows are first counted by value, values are put into
-buckets that keep their order, and bucket totals get the running sums; rows inside a bucket follow.
+Ranks never sort all rows of a key in one task: rows are first counted by value, values are range-sorted over as many
+partitions as shuffles have, and partition totals get the running sums; rows inside a partition follow.
 """
 
 from __future__ import annotations
@@ -12,9 +12,6 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Shares that the values of a key are cut into before they are ranked.
-CUTS = 128
-
 
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str, out: str) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the rows of the key before this one, in ``order``.
@@ -30,46 +27,41 @@ def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list, v
     return own.join(totals, group).withColumn(out, F.col("_own") + F.col("_before")).drop("_bucket", "_own", "_before")
 
 
-def _cuts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """(keys, _cuts): values of the data that part a key's rows into near-equal shares, ascending and distinct."""
-    own = [i / CUTS for i in range(CUTS + 1)]
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, own, 10 * CUTS)).alias("_cuts"))
-
-
-def _with_cuts(df: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """Adds ``_cuts``; one row a key meets the data."""
-    cuts = _cuts(df, keys, value)
-    return df.join(cuts, keys) if keys else df.withColumn("_k", F.lit(1)).join(cuts.withColumn("_k", F.lit(1)), "_k").drop("_k")
+def ranged(df: DataFrame, order: list) -> DataFrame:
+    """``df`` range-sorted by ``order``, with ``_part`` and ``_row``: the partition, and the row's number in it from 0.
 
-
-def _slot(value: Column) -> Column:
-    """2 i between cuts i - 1 and i, 2 i + 1 at cut i: never falls as the value grows, and odd slots hold one value."""
-    cuts = F.coalesce(F.col("_cuts"), F.array())
-    return 2 * F.size(F.filter(cuts, lambda c: c < value)) + F.coalesce(F.array_contains(cuts, value), F.lit(False)).cast("int")
+    Spark samples the bounds, so partitions are even and their number is ``spark.sql.shuffle.partitions``. The table is
+    kept: bounds sampled again for another branch would part the rows differently.
+    """
+    at = F.monotonically_increasing_id()  # the partition above bit 33, the row's number in it below
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    return shared(placed.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND((1 << 33) - 1)))
 
 
 def global_rank(df: DataFrame, score: str | None, id_col: str, *, keys=(), descending=False, out="rank") -> DataFrame:
-    """Adds ``out`` = 1, 2, ... by score, then by id; ``id_col`` is hex text, whose prefixes part the rows of one score.
+    """Adds ``out`` = 1, 2, ... by score, then by id; null scores stand first. ``id_col`` tells the rows of a key apart.
 
-    Buckets are cut by the scores' own quantiles, so their number does not grow with the distinct scores. Null
-    scores stand first.
+    All keys are ranked in one range sort: a row's place is its number in its partition, after the rows of the
+    partitions before, less the place of its key's first row. Only counts of partitions meet in one window.
     """
-    prefix, keys = F.substring(id_col, 1, 3), list(keys)
-    if score is None:
-        placed, bucket, order = df, prefix, [F.col(id_col)]
-    else:
-        s = -F.col(score) if descending else F.col(score)
-        slot = _slot(s)
-        placed, order = _with_cuts(df, keys, s), [s, F.col(id_col)]
-        bucket = F.struct(slot.alias("s"), F.when(slot % 2 == 1, prefix).otherwise("").alias("p"))
-    ranked = running_total(placed.withColumn("_one", F.lit(1).cast("bigint")), keys, bucket, order, "_one", "_rank0")
-    return ranked.withColumn(out, F.col("_rank0") + 1).drop("_rank0", "_one", "_cuts")
+    keys = list(keys)
+    s = [] if score is None else [-F.col(score) if descending else F.col(score)]
+    placed = ranged(df.withColumn("_s", s[0] if s else F.lit(0)), [*keys, "_s", id_col])
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    ranked = placed.join(parts, "_part")
+    if keys:
+        first = placed.groupBy(*keys).agg(F.min("_at").alias("_first")).withColumn("_part", F.shiftright("_first", 33)).join(parts, "_part")
+        start = first.select(*keys, (F.col("_before") + F.col("_first").bitwiseAND((1 << 33) - 1)).alias("_start"))
+        ranked = ranked.join(start, keys)
+    start = F.col("_start") if keys else F.lit(0)
+    return ranked.withColumn(out, F.col("_before") + F.col("_row") + 1 - start).select(*df.columns, out)
 
 
 def average_ranks(counts: DataFrame, keys: list[str], value: str, weight: str, out: str) -> DataFrame:
     """(keys, value, out): the mean rank of each distinct value, ties sharing it."""
-    by_value = _with_cuts(counts.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), keys, F.col(value))
-    ranked = running_total(by_value, keys, _slot(F.col(value)), [F.col(value)], "_w", "_below")
+    by_value = ranged(counts.groupBy(*keys, value).agg(F.sum(weight).alias("_w")), [*keys, value])
+    ranked = running_total(by_value, keys, F.col("_part"), [F.col(value)], "_w", "_below")
     return ranked.select(*keys, value, (F.col("_below") + (F.col("_w") + 1) / 2).alias(out))
 
 

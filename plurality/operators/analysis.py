@@ -172,8 +172,10 @@ def disagreement_detection(long: DataFrame) -> DataFrame:
         S.counted_mean(mixed.cast("double")).alias("prevalence"), S.counted_mean(F.when(_h() == 0, _p())).alias("p_at_zero"),
         S.counted_mean(F.when(mixed, _p())).alias("p_at_mixed"), S.counted_mean(F.when(_h() == 1, _p())).alias("p_at_one"),
     )
-    area = lambda score, out: S.auc(flagged, ["code"], "mixed", score, out, weight="count")
-    return rows.join(area("u", "auc_entropy"), "code").join(area("p", "auc_p"), "code")
+    # Both areas are one computation over (code, score).
+    scores = F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("x")) for k, c in (("auc_entropy", "u"), ("auc_p", "p"))]))
+    areas = S.auc(flagged.select("code", "mixed", "count", scores), ["code", "kind"], "mixed", "x", weight="count")
+    return rows.join(areas.groupBy("code").pivot("kind", ["auc_entropy", "auc_p"]).agg(F.first("auc")), "code")
 
 
 def review_cases(long: DataFrame) -> DataFrame:

@@ -310,7 +310,8 @@ def triage_targeted(spark, sf_dir):
 def triage_methods(spark, sf_dir):
     own = review_items(spark, sf_dir)
     n = own.count()
-    return rounded(A.union_all([A.review_curve(own, n, len(CODES), s, BUDGETS).withColumn("method", F.lit(s)) for s in ("entropy", "mean_p", "sse")]))
+    methods = F.array(*[F.struct(F.lit(s).alias("method"), F.col(s).alias("score")) for s in ("entropy", "mean_p", "sse")])
+    return rounded(A.review_curve(own.select("item_id", "sse", F.inline(methods)), n, len(CODES), "score", BUDGETS, keys=["method"]))
 
 
 @query

@@ -171,11 +171,21 @@ def test_ranks_of_continuous_and_tied_scores(spark):
         assert [ranked[r[1]] for r in own] == list(range(1, len(rows) + 1))
         ranked = {r["id"]: r["rank"] for r in S.global_rank(df, "s", "id", keys=["k"], descending=down).collect()}
         assert all([ranked[r[1]] for r in own if r[0] == k] == list(range(1, len(scores) + 1)) for k in "ab")
-    slots = S._with_cuts(df, ["k"], F.col("s")).select("k", S._slot(F.col("s")).alias("slot"), "s")
-    assert slots.groupBy("k").agg(F.countDistinct("slot").alias("n")).filter(F.col("n") > 2 * S.CUTS + 3).isEmpty()
-    between = slots.filter("slot % 2 = 0").groupBy("k", "slot").count()
-    assert between.agg(F.max("count")).first()[0] < 8 * len(scores) / S.CUTS
-    assert slots.filter("slot % 2 = 1").groupBy("k", "slot").agg(F.countDistinct("s").alias("n")).filter("n > 1").isEmpty()
+    with_null = S.global_rank(df.filter("k = 'a'").unionByName(spark.createDataFrame([(None, "00", 1.0), (None, "01", 0.5)], "k string, id string, s double")), "s", "id").collect()
+    assert sorted(r["rank"] for r in with_null) == list(range(1, len(scores) + 3))
+
+
+def test_ranks_part_the_work_evenly_at_any_size(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n, parts in ((4000, 4), (16000, 16)):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            skewed = spark.range(n).select(F.when(F.col("id") % 3 == 0, 0.25).otherwise(F.exp(F.rand(1) * 20)).alias("s"), F.sha2(F.col("id").cast("string"), 256).alias("id"))
+            sizes = [r["count"] for r in S.ranged(skewed, ["s", "id"]).groupBy("_part").count().collect()]
+            assert len(sizes) == parts and max(sizes) < 3 * n / parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_mean_ranks_outside_the_unit_interval(spark):
