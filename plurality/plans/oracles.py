@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 CODES = ["A", "N", "R", "F", "O", "BULK"]
 _VOTES = ",\n  ".join(f"(count(*) FILTER (list_contains(string_split(labels, ','), '{c}')))::BIGINT AS votes_{c}" for c in CODES)
 _LIST = "[" + ", ".join(f"'{c}'" for c in CODES) + "]"
@@ -60,7 +62,7 @@ assigned AS (SELECT *, split = 'test' AND text IN (SELECT text FROM strict) AS s
     )
 
 
-SPLIT = LONG + _split("elig", 100, 100) + """,
+SPLIT = LONG + _split("elig", 1000, 1000) + """,
 sl AS (SELECT l.*, a.split, a.sensitivity FROM long2 l JOIN assigned a USING (item_id)),
 t AS (SELECT * FROM sl WHERE split = 'test'), d AS (SELECT * FROM sl WHERE split = 'dev'), s AS (SELECT * FROM sl WHERE sensitivity)"""
 DOCS = "docs AS (SELECT doc_id, lang AS bucket, source, text, sha256(text) AS content_id FROM documents)"
@@ -96,16 +98,31 @@ draws AS (SELECT rep, idx, count(*) AS m FROM (SELECT r.rep, ('0x' || substr(sha
 w AS (SELECT rep, item_id, m FROM draws JOIN num USING (idx))"""
 
 
+#: The chance of at most 0, 1, ... draws of a Poisson variable of mean 1, in shares of 2^-16.
+_SHARES = [int(65536 * sum(math.exp(-1) / math.factorial(j) for j in range(k + 1))) for k in range(8)]
+
+
+def poisson(rows: str, ident: str, ns: str, seed: int, reps: int) -> str:
+    """CTE w(rep, ident, m) over the distinct identities of ``rows``."""
+    part = lambda i: f"('0x' || substr(sha256({ident}::VARCHAR), {i}, 8))::BIGINT % 2147483647"
+    c = ", ".join(f"('0x' || substr(sha256('{ns}:{seed}:' || rep || ':{j}'), 1, 8))::BIGINT % 2147483647 AS c{j}" for j in range(6))
+    m = " + ".join(f"(u >= {t})::INT" for t in _SHARES)
+    return f""",
+ids AS (SELECT {ident}, {part(1)} AS x1, {part(9)} AS x2 FROM (SELECT DISTINCT {ident} FROM {rows})),
+poly AS (SELECT rep, {c} FROM range({reps}) g(rep)),
+w AS (SELECT rep, {ident}, {m} AS m FROM (SELECT rep, {ident}, ((((c0 * x1 + c1) % 2147483647 * x1 + c2) % 2147483647 * x1 + (c3 * x2 + c4) % 2147483647 * x2 % 2147483647 + c5) % 2147483647) // 32768 AS u FROM ids, poly))"""
+
+
 def boot_means(values: dict[str, str], rows: str, after: dict[str, str] | None = None) -> str:
     names = list(values)
-    sums = ", ".join(f"sum(m * v_{n}) / (SELECT count(*) FROM num) AS v_{n}" for n in names)
+    sums = ", ".join(f"sum(m * v_{n}) / sum(m) AS v_{n}" for n in names)
     after = after or {n: f"v_{n}" for n in names}
     plain = ", ".join(f"avg(v_{n}) AS v_{n}" for n in names)
     own = ", ".join(f"{e} AS x_{n}" for n, e in after.items())
     flat = lambda table, keep: " UNION ALL ".join(f"SELECT {keep} '{n}' AS metric, code, x_{n} AS v FROM {table}" for n in after)
     means = ", ".join(f"avg(x_{n})" for n in after)
     columns = ", ".join(f"x_{n}" for n in after)
-    return BOOT.format(rows=rows, ns="boot", seed=42) + f""",
+    return poisson(rows, "item_id", "boot", 42, 1000) + f""",
 vals AS (SELECT item_id, code, {', '.join(f'{e} AS v_{n}' for n, e in values.items())} FROM {rows}),
 reps AS (SELECT rep, code, {own} FROM (SELECT rep, code, {sums} FROM vals JOIN w USING (item_id) GROUP BY ALL)),
 points0 AS (SELECT code, {own} FROM (SELECT code, {plain} FROM vals GROUP BY code)),
@@ -143,14 +160,15 @@ SQL["content_ids"] = q(DOCS, "SELECT content_id, count(*)::BIGINT AS documents F
 SQL["label_signatures"] = q(VOTES, "SELECT sg AS signature, sg AS again, count(*)::BIGINT AS rows FROM (SELECT array_to_string(list_sort(list_distinct(string_split(annotation, ','))), ',') AS sg FROM raw) GROUP BY ALL")
 SQL["grouped_split"] = q(DOCS + _groups("docs", 100, "dev", "devs"), "SELECT sha256(text) AS content_id, size::BIGINT AS size, taken_before FROM devs")
 SQL["sensitivity_subset"] = q(DOCS + _split("docs", 100, 50), "SELECT split, sensitivity, count(*)::BIGINT AS documents, count(DISTINCT content_id)::BIGINT AS texts FROM assigned GROUP BY ALL")
-SQL["leak_check"] = q(DOCS + _split("docs", 100, 50), "SELECT text, count(DISTINCT split)::BIGINT AS splits FROM assigned GROUP BY text HAVING count(DISTINCT split) > 1")
+SQL["leak_check"] = q(DOCS + _split("docs", 100, 50) + ", planted AS (SELECT text, CASE WHEN doc_id % 10 = 0 THEN 'planted' ELSE split END AS split FROM assigned)",
+    " UNION ALL ".join(f"SELECT text, count(DISTINCT split)::BIGINT AS splits FROM {t} GROUP BY text HAVING count(DISTINCT split) > 1" for t in ("planted", "assigned")))
 SQL["cross_source_texts"] = q(DOCS, "SELECT content_id, count(DISTINCT (bucket, source))::BIGINT AS cells FROM docs GROUP BY ALL HAVING count(DISTINCT (bucket, source)) > 1")
 SQL["hash_threshold_split"] = "SELECT CASE WHEN substr(sha256('next:' || text), 1, 16) < '1999999999999a00' THEN 'dev' ELSE 'test' END AS split, count(*)::BIGINT AS documents FROM documents GROUP BY ALL"
 SQL["long_scores"] = q(LONG, f"SELECT item_id, code, {r('h', 'p', 'q')} FROM long")
 SQL["wide_scores"] = q(LONG, "SELECT item_id, " + ", ".join(f'round(max(p) FILTER (code = \'{c}\'), 6) AS "{c}"' for c in CODES) + " FROM long GROUP BY item_id")
 SQL["prediction_join"] = q(LONG, f"SELECT code, n, {r('mean_p', 'mean_h')} FROM (SELECT code, count(*)::BIGINT AS n, avg(p) AS mean_p, avg(h) AS mean_h FROM long GROUP BY code)")
 SQL["prediction_completeness"] = q(ITEMS, "SELECT item_id, n_annotators FROM elig WHERE item_id[1] = '0'")
-SQL["key_disjointness"] = q(SPLIT, "SELECT item_id FROM d INTERSECT SELECT item_id FROM t")
+SQL["key_disjointness"] = q(SPLIT, "SELECT item_id, 'sound' AS side FROM (SELECT item_id FROM d INTERSECT SELECT item_id FROM t) UNION ALL SELECT DISTINCT item_id, 'planted' AS side FROM d WHERE item_id IN (SELECT item_id FROM t) OR item_id LIKE 'a%'")
 SQL["cell_joins"] = q(LONG, f"SELECT bucket, source, code, {r('human', 'soft', 'hard')} FROM (SELECT bucket, source, code, avg(h) AS human, avg(p) AS soft, avg(hp) AS hard FROM long2 GROUP BY ALL)")
 _METRICS = ["squared_loss", "hard_squared_loss", "absolute_loss", "hard_absolute_loss", "rho"]
 SQL["foundation_metrics"] = q(SPLIT + f""",
@@ -176,7 +194,7 @@ def _curve(score: str) -> str:
 SQL["triage_targeted"] = q(REVIEW, f"SELECT budget, reviewed, {r('mse')} FROM {_curve('entropy')}")
 SQL["triage_methods"] = q(REVIEW, f"SELECT budget, reviewed, method, {r('mse')} FROM (" + " UNION ALL ".join(f"SELECT * FROM {_curve(s)}" for s in ("entropy", "mean_p", "sse")) + ")")
 RANDOM = """,
-rr AS (SELECT rep, item_id, row_number() OVER (PARTITION BY rep ORDER BY sha256('review:45:' || rep || ':' || item_id)) AS rk FROM ri, range(20) g(rep))"""
+rr AS (SELECT rep, item_id, row_number() OVER (PARTITION BY rep ORDER BY sha256('review:45:' || rep || ':' || item_id)) AS rk FROM ri, range(200) g(rep))"""
 SQL["triage_random"] = q(REVIEW + RANDOM, f"""SELECT budget, {r('mse_mean')}, round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high FROM
   (SELECT budget, avg(mse) AS mse_mean, quantile_cont(mse, 0.025) AS lo, quantile_cont(mse, 0.975) AS hi FROM
    (SELECT rep, budget, coalesce(sum(sse) FILTER (rk > k), 0) / ((SELECT n FROM nn) * 6) AS mse FROM rr JOIN ri USING (item_id), bud GROUP BY ALL) GROUP BY budget)""")
@@ -188,10 +206,12 @@ cell AS (SELECT bucket, source, code, count(*)::BIGINT AS n, avg(h) AS human, av
 SQL["cell_recovery"] = q(CELLS, f"SELECT bucket, source, code, n, {r('human', 'soft', 'hard', *_TARGETED)} FROM cell")
 SQL["cell_recovery_summary"] = q(CELLS, f"SELECT method, {r('mae_unweighted', 'mae_weighted')} FROM (" + " UNION ALL ".join(
     f"SELECT '{m}' AS method, avg(abs({m} - human)) AS mae_unweighted, sum(n * abs({m} - human)) / sum(n) AS mae_weighted FROM cell" for m in ("soft", "hard", *_TARGETED)) + ")")
-SQL["random_cell_recovery"] = q(REVIEW + RANDOM, f"""SELECT {r('mae_unweighted', 'mae_weighted')} FROM (SELECT avg(a) AS mae_unweighted, avg(w) AS mae_weighted FROM
-  (SELECT rep, avg(abs(e - hu)) AS a, sum(n * abs(e - hu)) / sum(n) AS w FROM (SELECT rep, bucket, source, code, count(*) AS n, avg(h) AS hu,
-    avg(CASE WHEN rk <= (SELECT k FROM bud WHERE budget = 20) THEN h ELSE p END) AS e FROM t JOIN rr USING (item_id) GROUP BY ALL) GROUP BY rep))""")
-SQL["cell_min_clusters"] = q(ITEMS, "SELECT bucket, source, count(DISTINCT content_id)::BIGINT AS clusters FROM elig GROUP BY ALL HAVING count(DISTINCT content_id) >= 40")
+RECOVERY = REVIEW + RANDOM + """,
+re AS (SELECT rep, bucket, source, code, budget, count(*) AS n, avg(h) AS hu, avg(CASE WHEN rk <= k THEN h ELSE p END) AS e FROM t JOIN rr USING (item_id), bud WHERE budget > 0 GROUP BY ALL)"""
+SQL["random_cell_recovery"] = q(RECOVERY, f"""SELECT budget, {r('mae_unweighted', 'mae_weighted')} FROM (SELECT budget, avg(a) AS mae_unweighted, avg(w) AS mae_weighted FROM
+  (SELECT rep, budget, avg(abs(e - hu)) AS a, sum(n * abs(e - hu)) / sum(n) AS w FROM re GROUP BY ALL) GROUP BY budget)""")
+SQL["random_cell_means"] = q(RECOVERY, f"SELECT bucket, source, code, budget, n, {r('random_mean')} FROM (SELECT bucket, source, code, budget, any_value(n)::BIGINT AS n, avg(e) AS random_mean FROM re GROUP BY ALL)")
+SQL["cell_min_clusters"] = q(ITEMS, "SELECT bucket, source, count(DISTINCT content_id)::BIGINT AS clusters, b.least::BIGINT AS least FROM elig, (VALUES (200), (700)) b(least) GROUP BY ALL HAVING count(DISTINCT content_id) >= b.least")
 _W = ["mean_abs_change", "flip_rate", "canonical_loss", "strict_loss", "rho_pq", "rho_p", "rho_q", "loss_delta", "rho_delta"]
 SQL["wording_sensitivity"] = q(SPLIT + f""",
 m AS (SELECT *, strict_loss - canonical_loss AS loss_delta, rho_q - rho_p AS rho_delta FROM
@@ -235,10 +255,8 @@ rp AS {rho('big', 'rep, code', 'uh', 'up')}, pt AS {rho('t', 'code', 'uh', 'up',
 r2 AS (SELECT code, rho FROM rp UNION ALL SELECT 'macro', avg(rho) FROM rp GROUP BY rep), p2 AS (SELECT code, estimate FROM pt UNION ALL SELECT 'macro', avg(estimate) FROM pt)""",
     f"SELECT code, {r('estimate')}, round(lo, 6) AS ci95_low, round(hi, 6) AS ci95_high FROM p2 JOIN (SELECT code, quantile_cont(rho, 0.025) AS lo, quantile_cont(rho, 0.975) AS hi FROM r2 GROUP BY code) USING (code)")
 SQL["cluster_bootstrap"] = q(DOCS + """,
-cl AS (SELECT content_id, sum(quality)::DOUBLE AS s, count(*) AS c FROM labels JOIN docs USING (doc_id) GROUP BY content_id),
-num AS (SELECT *, row_number() OVER (ORDER BY content_id) - 1 AS idx FROM cl),
-dr AS (SELECT rep, ('0x' || substr(sha256('cluster:44:' || rep || ':' || slot), 1, 8))::BIGINT % (SELECT count(*) FROM num) AS idx FROM range(20) g(rep), range((SELECT count(*) FROM num)) h(slot)),
-bt AS (SELECT rep, sum(s) / sum(c) AS v FROM dr JOIN num USING (idx) GROUP BY rep)""",
+cl AS (SELECT content_id, sum(quality)::DOUBLE AS s, count(*) AS c FROM labels JOIN docs USING (doc_id) GROUP BY content_id)""" + poisson("cl", "content_id", "cluster", 44, 2000) + """,
+bt AS (SELECT rep, sum(m * s) / sum(m * c) AS v FROM w JOIN cl USING (content_id) GROUP BY rep)""",
     "SELECT round((SELECT sum(s) / sum(c) FROM cl), 6) AS estimate, (SELECT count(*) FROM cl)::BIGINT AS clusters, round(quantile_cont(v, 0.025), 6) AS ci95_low, round(quantile_cont(v, 0.975), 6) AS ci95_high FROM bt")
 _LISTS = (("closest", "true", "abs(p - 0.5)", 3), ("positive_disagreement", "p > 0.5 AND h < 0.5", "-abs(p - 0.5)", 3), ("negative_disagreement", "p < 0.5 AND h > 0.5", "-abs(p - 0.5)", 3), ("low", "h < 0.5", "h", 1), ("mixed", "h > 0 AND h < 1", "abs(h - 0.5)", 1), ("high", "h > 0.5", "-h", 1))
 _cases, _used = "", []
@@ -263,7 +281,9 @@ SQL["range_violations"] = "SELECT count(*)::BIGINT AS rows, (count(*) FILTER (l_
 SQL["constant_columns"] = "SELECT * FROM (SELECT 'o_orderstatus' AS \"column\", count(DISTINCT o_orderstatus)::BIGINT AS \"values\" FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority)::BIGINT FROM orders) WHERE \"values\" <> 1"
 SQL["duplicate_keys"] = "SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS rows FROM lineitem GROUP BY ALL HAVING count(*) > 1"
 SQL["blank_identity"] = q(VOTES, "SELECT bucket, count(*)::BIGINT AS rows FROM raw WHERE confidence = '' GROUP BY ALL")
-SQL["vocabulary_difference"] = "(SELECT source FROM documents WHERE lang = 'en' EXCEPT SELECT source FROM documents WHERE lang = 'es') UNION ALL (SELECT source FROM documents WHERE lang = 'es' EXCEPT SELECT source FROM documents WHERE lang = 'en')"
+_CELL = "(SELECT DISTINCT lang, source FROM labels JOIN documents USING (doc_id) WHERE {})"
+_TOXIC, _POOR = (f"SELECT * FROM {_CELL.format(w)}" for w in ("toxic = 1", "quality = 0"))
+SQL["vocabulary_difference"] = f"({_TOXIC} EXCEPT {_POOR}) UNION ALL ({_POOR} EXCEPT {_TOXIC})"
 SQL["scalar_functions"] = r"""SELECT doc_id, regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]', ' ', 'g') AS line, printf('%.3f', n_chars / 7.0::DOUBLE) AS number, upper(lang[1]) || lower(lang[2:]) AS title,
   round_even(n_chars / 10.0::DOUBLE, 0)::BIGINT AS half_even, n_chars % 2 = 0 AS flag, 'source+cell+name+2' AS parts FROM documents"""
 SQL["evidence_fingerprint"] = """WITH h AS (SELECT sha256('{"item_id":"' || concat_ws(':', conv_id, turn) || '","variant":"' || CASE WHEN role = 'assistant' THEN 'strict' ELSE 'canonical' END || '"'

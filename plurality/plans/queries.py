@@ -23,7 +23,9 @@ from plurality.plans import oracles
 from plurality.plans.panel import CODES, document_items, order_votes, table
 from plurality.sources import storage
 
-DEV, SENSITIVITY, REPS, BUDGETS = 100, 100, 20, (0, 5, 10, 20, 30)
+DEV, SENSITIVITY, BUDGETS = 1000, 1000, (0, 5, 10, 20, 30)
+#: Repetitions of bootstraps of means, of clusters, of rank correlations, and of random reviews.
+REPS, CLUSTER_REPS, RANK_REPS, REVIEW_REPS = 1000, 2000, 20, 200
 QUERIES: dict = {}
 
 
@@ -209,7 +211,10 @@ def sensitivity_subset(spark, sf_dir):
 
 @query
 def leak_check(spark, sf_dir):
-    return G.leaks(G.assign(document_items(spark, sf_dir), 100, 50)).select("text", "splits")
+    """A sound split has no leak; here every tenth document is put into a split of its own, whatever its text's copies."""
+    own = G.assign(document_items(spark, sf_dir), 100, 50)
+    planted = own.withColumn("split", F.when(F.col("doc_id") % 10 == 0, "planted").otherwise(F.col("split")))
+    return G.leaks(planted).select("text", "splits").unionByName(G.leaks(own).select("text", "splits"))
 
 
 @query
@@ -252,8 +257,11 @@ def prediction_completeness(spark, sf_dir):
 
 @query
 def key_disjointness(spark, sf_dir):
+    """Keys that two sides share: none of a sound split's, and those of dev items that are put into the test side too."""
     split = G.assign(items(spark, sf_dir), DEV, SENSITIVITY)
-    return K.shared_keys(split.filter("split = 'dev'"), split.filter("split = 'test'"), ["item_id"])
+    dev, test = split.filter("split = 'dev'"), split.filter("split = 'test'")
+    planted = test.unionByName(dev.filter(F.substring("item_id", 1, 1) == "a"))
+    return A.union_all([K.shared_keys(dev, other, ["item_id"]).withColumn("side", F.lit(name)) for name, other in (("sound", test), ("planted", planted))])
 
 
 @query
@@ -318,7 +326,7 @@ def triage_methods(spark, sf_dir):
 def triage_random(spark, sf_dir):
     own = review_items(spark, sf_dir)
     n = own.count()
-    spread = B.random_review(own, REPS)
+    spread = B.random_review(own, REVIEW_REPS)
     ranked = S.global_rank(spread.select("rep", "sse", F.col("key").alias("item_id")), None, "item_id", keys=["rep"])
     ks = {b: round(n * b / 100) for b in BUDGETS}
     left = ranked.groupBy("rep").agg(*[(F.sum(F.when(F.col("rank") > k, F.col("sse")).otherwise(0.0)) / (n * len(CODES))).alias(f"b{b}") for b, k in ks.items()])
@@ -351,22 +359,30 @@ def cell_recovery_summary(spark, sf_dir):
     return rounded(A.cell_errors(own, [c for c in own.columns if c not in ("bucket", "source", "code", "n", "human")]))
 
 
+def random_recovery(spark, sf_dir):
+    rows = part(spark, sf_dir, "test")
+    return S.shared(B.random_recovery(rows, CODES, A.CELL, BUDGETS, REVIEW_REPS))
+
+
 @query
 def random_cell_recovery(spark, sf_dir):
-    """Mean over repetitions of the cell errors of a random review of a fifth of the items."""
-    rows = part(spark, sf_dir, "test").select("item_id", "bucket", "source", "code", "h", "p")
-    spread = B.random_review(rows.select("item_id", F.lit(0.0).alias("sse")).distinct(), REPS)
-    n = spread.select("item_id").distinct().count()
-    ranked = S.global_rank(spread.select("rep", F.col("item_id").alias("id"), F.col("key").alias("item_id")), None, "item_id", keys=["rep"])
-    chosen = ranked.select("rep", F.col("id").alias("item_id"), (F.col("rank") <= round(n * 0.2)).alias("seen"))
-    est = rows.join(chosen, "item_id").groupBy("rep", "bucket", "source", "code").agg(F.count(F.lit(1)).alias("n"), F.avg("h").alias("human"), F.avg(F.when(F.col("seen"), F.col("h")).otherwise(F.col("p"))).alias("e"))
-    errors = est.groupBy("rep").agg(F.avg(F.abs(F.col("e") - F.col("human"))).alias("a"), S.weighted_mean(F.abs(F.col("e") - F.col("human")), F.col("n")).alias("w"))
-    return rounded(errors.agg(F.avg("a").alias("mae_unweighted"), F.avg("w").alias("mae_weighted")))
+    """Mean over repetitions of the cell errors of random reviews, for each budget."""
+    error = F.abs(F.col("estimate") - F.col("human"))
+    errors = random_recovery(spark, sf_dir).groupBy("rep", "budget").agg(F.avg(error).alias("a"), S.weighted_mean(error, F.col("n")).alias("w"))
+    return rounded(errors.groupBy("budget").agg(F.avg("a").alias("mae_unweighted"), F.avg("w").alias("mae_weighted")))
+
+
+@query
+def random_cell_means(spark, sf_dir):
+    """What random reviews of each budget recover of each cell, on average."""
+    return rounded(random_recovery(spark, sf_dir).groupBy(*A.CELL, "code", "budget").agg(F.first("n").alias("n"), F.avg("estimate").alias("random_mean")))
 
 
 @query
 def cell_min_clusters(spark, sf_dir):
-    return A.clustered_cells(long(spark, sf_dir), 40)
+    """Cells with enough distinct texts, for two bounds."""
+    rows = long(spark, sf_dir)
+    return A.union_all([A.clustered_cells(rows, least).withColumn("least", F.lit(least).cast("bigint")) for least in (200, 700)])
 
 
 # Wording and calibration
@@ -450,7 +466,7 @@ def bootstrap_loss_ci(spark, sf_dir):
 @query
 def bootstrap_spearman_ci(spark, sf_dir):
     rows = part(spark, sf_dir, "test").select("item_id", "code", X.entropy(F.col("h")).alias("uh"), X.entropy(F.col("p")).alias("up"))
-    return rounded(B.bootstrap_spearman(rows, "uh", "up", REPS))
+    return rounded(B.bootstrap_spearman(rows, "uh", "up", RANK_REPS))
 
 
 @query
@@ -475,7 +491,7 @@ def strict_bootstrap(spark, sf_dir):
 @query
 def cluster_bootstrap(spark, sf_dir):
     rows = table(spark, sf_dir, "labels").join(document_items(spark, sf_dir), "doc_id").select("content_id", "quality")
-    return rounded(B.cluster_bootstrap(rows, "content_id", "quality", REPS))
+    return rounded(B.cluster_bootstrap(rows, "content_id", "quality", CLUSTER_REPS))
 
 
 @query
@@ -607,8 +623,9 @@ def blank_identity(spark, sf_dir):
 
 @query
 def vocabulary_difference(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return K.symmetric_difference(docs.filter("lang = 'en'").select("source"), docs.filter("lang = 'es'").select("source"))
+    """(language, source) cells with toxic documents or with poor ones, but not with both."""
+    docs = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return K.symmetric_difference(docs.filter("toxic = 1").select("lang", "source").distinct(), docs.filter("quality = 0").select("lang", "source").distinct())
 
 
 @query
