@@ -74,3 +74,37 @@ def test_one_id_on_several_texts_loses_none(spark):
     rows = [(1, "a b c d e f", 0, 0), (7, "a b c d e f", 1, 1), (7, "some other text of its own here", 2, 2), (7, "some other text of its own here", 2, 2), (None, "no id but text", 3, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, th long, k long")
     assert sorted((r["doc_id"] or 0, r["th"]) for r in near_copies.keep_one(docs).collect()) == [(0, 3), (1, 0), (7, 2)]
+
+
+def test_a_crowded_group_loses_no_link(spark, monkeypatch):
+    """Copies of one text with 0 to 15% of their words changed: the last comparison seeks by the prefix filter."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(140):
+        words, share = list(base), rng.choice([0, 0.005, 0.01, 0.02, 0.03, 0.04])
+        for i in range(150):
+            if rng.random() < share:
+                words[i] = f"x{k}-{i}"
+        texts.append(" ".join(words[: rng.choice([150, 150, 140, 130])]))
+    texts = sorted(set(texts))
+    used = []
+    real = near_copies._apart
+    monkeypatch.setattr(near_copies, "_apart", lambda *a: used.append(1) or real(*a))
+    monkeypatch.setattr(near_copies, "FEW_PAIRS", 0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs).collect()}
+    sets = [set(near_copies.shingles(t.encode()).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    assert got == {i: top(i) for i in range(len(texts))} and len(set(got.values())) > 3 and used
