@@ -51,9 +51,16 @@ def label_spellings(df: DataFrame, column: str, wanted) -> DataFrame:
 
 
 def join_one_to_one(left: DataFrame, right: DataFrame, key) -> DataFrame:
-    """The inner join of two tables of which each has a key once; repeated keys on a side are an error before it."""
-    for name, side in (("left", left), ("right", right)):
-        assert_empty(duplicate_keys(side, key), f"repeated keys on the {name} side")
+    """The inner join of two tables of which each has a key once; repeated keys on a side are an error before it.
+
+    One aggregate over the keys of both sides finds them.
+    """
+    sides = left.select(*key, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*key, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    counts = sides.groupBy(*key).agg(F.sum("_l").alias("left"), F.sum("_r").alias("right"))
+    found = counts.filter("left > 1 OR right > 1").take(3)
+    if found:
+        names = [n for n in ("left", "right") if any(r[n] > 1 for r in found)]
+        raise ConstraintError(f"repeated keys on the {' and '.join(names)} side: {[r.asDict() for r in found]}")
     return left.join(right, key, "inner")
 
 

@@ -63,11 +63,15 @@ def drifted(records: DataFrame, pinned: str) -> DataFrame:
     return records.select("returned_model").distinct().filter(~F.col("returned_model").eqNullSafe(F.lit(pinned)))
 
 
-def evidence_fingerprint(records: DataFrame, columns: list[str], key: str) -> DataFrame:
-    """One row: SHA-256 over the records' own hashes, combined by 256 prefixes of them, in order.
+def evidence_fingerprint(records: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: SHA-256 over the records' own hashes, as a tree over their prefixes, in order.
 
-    No task holds all rows: each bucket hashes its sorted row hashes, and the bucket hashes are hashed last.
+    Equal records are counted first. Leaves hold the hashes of one prefix of nine digits, 16^9 leaves share the records,
+    and no node has more than 16^3 children, so no task gathers much whatever the number of records.
     """
-    rows = records.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h"))
-    buckets = rows.groupBy(F.substring("h", 1, 2).alias("b")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("h"))), 256).alias("h"), F.count(F.lit(1)).alias("n"))
-    return buckets.agg(F.sum("n").alias("records"), F.sha2(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"])), 256).alias("fingerprint"))
+    rows = records.select(F.sha2(F.to_json(F.struct(*columns)), 256).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    nodes = rows.select(F.col("h").alias("at"), F.concat_ws(":", "h", "n").alias("h"), "n")
+    for digits in (9, 6, 3, 0):
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"])
+        nodes = nodes.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sha2(F.concat_ws("", ordered), 256).alias("h"), F.sum("n").alias("n"))
+    return nodes.select(F.col("n").alias("records"), F.col("h").alias("fingerprint"))

@@ -288,8 +288,11 @@ SQL["scalar_functions"] = r"""SELECT doc_id, regexp_replace(text, '\r\n|[\n\r\x0
   round_even(n_chars / 10.0::DOUBLE, 0)::BIGINT AS half_even, n_chars % 2 = 0 AS flag, 'source+cell+name+2' AS parts FROM documents"""
 SQL["evidence_fingerprint"] = """WITH h AS (SELECT sha256('{"item_id":"' || concat_ws(':', conv_id, turn) || '","variant":"' || CASE WHEN role = 'assistant' THEN 'strict' ELSE 'canonical' END || '"'
     || coalesce(',"state":"' || sha256(text) || '"', '') || '}') AS h FROM conversations),
-b AS (SELECT h[:2] AS b, sha256(string_agg(h, '' ORDER BY h)) AS h, count(*) AS n FROM h GROUP BY 1)
-SELECT sum(n)::BIGINT AS records, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM b"""
+l AS (SELECT h AS b, h || ':' || count(*) AS h, count(*) AS n FROM h GROUP BY h),
+l9 AS (SELECT b[:9] AS b, sha256(string_agg(h, '' ORDER BY b)) AS h, sum(n) AS n FROM l GROUP BY 1),
+l6 AS (SELECT b[:6] AS b, sha256(string_agg(h, '' ORDER BY b)) AS h, sum(n) AS n FROM l9 GROUP BY 1),
+l3 AS (SELECT b[:3] AS b, sha256(string_agg(h, '' ORDER BY b)) AS h, sum(n) AS n FROM l6 GROUP BY 1)
+SELECT sum(n)::BIGINT AS records, sha256(string_agg(h, '' ORDER BY b)) AS fingerprint FROM l3"""
 SQL["release_frame"] = "WITH " + ITEMS.strip() + " SELECT item_id, content_id, bucket, source, n_annotators, n_votes, votes_BULK IN (0, n_votes) AS unanimous FROM items WHERE n_annotators >= 3"
 SQL["label_groups"] = "WITH " + VOTES.strip() + """ SELECT bucket, count(*) AS votes,
   (count(*) FILTER (confidence <> '' AND list_has_any(string_split(labels, ','), ['A', 'R'])))::BIGINT AS returned_chosen, count(*) FILTER (confidence <> '') AS returned_answered,

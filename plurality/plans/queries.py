@@ -557,7 +557,7 @@ def payload_flatten(spark, sf_dir):
 
 @query
 def evidence_fingerprint(spark, sf_dir):
-    return I.evidence_fingerprint(jobs(spark, sf_dir), ["item_id", "variant", "state"], "item_id")
+    return I.evidence_fingerprint(jobs(spark, sf_dir), ["item_id", "variant", "state"])
 
 
 @query
