@@ -328,3 +328,13 @@ SQL["committed_calls"] = """
 WITH jobs AS (SELECT conv_id || ':' || turn AS item_id, CASE role WHEN 'assistant' THEN 'strict' ELSE 'canonical' END AS variant FROM conversations),
 told AS (SELECT *, (('0x' || substr(sha256('done:' || item_id), 1, 8))::BIGINT % 3 <> 0)::BIGINT AS held FROM jobs)
 SELECT variant, held, count(*) AS calls, min(item_id) AS first_item FROM told GROUP BY ALL"""
+SQL["one_to_one_join"] = f"""SELECT o_orderstatus, count(*) AS orders, sum(lines)::BIGINT AS lines, {r('quantity')} FROM (SELECT o_orderstatus, lines, quantity FROM orders
+  JOIN (SELECT l_orderkey, count(*) AS lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1""".replace("round((quantity)", "round((sum(quantity))")
+SQL["spelling_check"] = """WITH f AS (SELECT CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN ' r' ELSE l_returnflag END AS s FROM lineitem),
+n AS (SELECT lower(trim(s)) AS label, count(DISTINCT s) AS spellings FROM f GROUP BY 1)
+SELECT w.label, coalesce(n.spellings, 0) AS spellings FROM (VALUES ('a'), ('n'), ('r'), ('x')) w(label) LEFT JOIN n USING (label) WHERE coalesce(n.spellings, 0) <> 1"""
+SQL["annotator_counts"] = q(ITEMS, "SELECT n_annotators, count(*) AS items FROM items WHERE n_annotators < 3 GROUP BY 1")
+SQL["split_sizes"] = q(SPLIT, """SELECT "group", rows FROM (SELECT b.g AS "group", count(a.split)::BIGINT AS rows, any_value(b.low) AS low, any_value(b.high) AS high FROM (VALUES ('dev', 1000, 1050), ('test', 1, 10), ('absent', 1, 5)) b(g, low, high)
+  LEFT JOIN assigned a ON a.split = b.g GROUP BY b.g) WHERE rows < low OR rows > high""")
+SQL["unlabelled_documents"] = "SELECT lang, count(*) AS documents FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR toxic IS NULL GROUP BY lang"
+SQL["single_row"] = "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region WHERE r_name LIKE 'EU%'"

@@ -628,6 +628,47 @@ def vocabulary_difference(spark, sf_dir):
     return K.symmetric_difference(docs.filter("toxic = 1").select("lang", "source").distinct(), docs.filter("quality = 0").select("lang", "source").distinct())
 
 
+@query
+def one_to_one_join(spark, sf_dir):
+    """Orders and the sums of their lines, each key once on either side."""
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("lines"), F.sum("l_quantity").alias("quantity"))
+    joined = K.join_one_to_one(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), lines, ["o_orderkey"])
+    return rounded(joined.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.sum("lines").alias("lines"), F.sum("quantity").alias("quantity")))
+
+
+@query
+def spelling_check(spark, sf_dir):
+    """Labels that lack a single spelling: flags stand in either case by the parity of their line, one label is absent."""
+    flags = table(spark, sf_dir, "lineitem").select(F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1), " r").otherwise(F.col("l_returnflag")).alias("flag"))
+    return K.label_spellings(flags, "flag", ["A", "N", "R", "X"])
+
+
+@query
+def annotator_counts(spark, sf_dir):
+    """Items whose number of annotators is not whole or below three."""
+    return K.not_whole(all_items(spark, sf_dir), "n_annotators", 3).groupBy("n_annotators").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query
+def split_sizes(spark, sf_dir):
+    """Splits outside their bounds: dev is sound, test is told to be small, a third does not exist."""
+    own = G.assign(items(spark, sf_dir), DEV, SENSITIVITY)
+    return K.group_sizes_outside(own, "split", {"dev": (DEV, DEV + 50), "test": (1, 10), "absent": (1, 5)})
+
+
+@query
+def unlabelled_documents(spark, sf_dir):
+    """Documents with a null in any of their label columns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return L.any_null(docs, ["quality", "toxic"]).groupBy("lang").agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query
+def single_row(spark, sf_dir):
+    """The one region whose name begins with EU."""
+    return rounded(K.exactly_one(table(spark, sf_dir, "region").filter(F.col("r_name").startswith("EU"))))
+
+
 @query
 def scalar_functions(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
