@@ -60,7 +60,7 @@ class HttpClient:
     """Sends one text at a time. ``key_variable`` names the environment variable that holds the key on the executors,
     so that the key is in no plan and no log; ``ask`` makes the request's questions from the variant."""
 
-    def __init__(self, base_url: str, model: str, *, ask: Callable[[str], object], key_variable: str | None = None, timeout=60.0, retries=5, backoff=1.0, insecure=False, paths=("/v1/models", "/v1/systemone"), sleep=time.sleep) -> None:
+    def __init__(self, base_url: str, model: str, *, ask: Callable[[str], object], key_variable: str | None = None, timeout=60.0, retries=5, backoff=1.0, insecure=False, paths=("/v1/models", "/v1/answers"), sleep=time.sleep) -> None:
         self.base = base_url.rstrip("/")
         if not self.base.startswith("https://") and not insecure:
             raise ValueError("the provider's address must start with https://")

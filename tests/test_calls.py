@@ -58,7 +58,7 @@ def test_client_waits_for_rate_limits_alone(service, monkeypatch):
     told[:] = [(429, {}, ""), (429, {"Retry-After": "7"}, ""), (429, {"Retry-After": "900"}, ""), (429, {"Retry-After": "soon"}, ""), (200, {}, ANSWER)]
     assert json.loads(client(url, slept, key_variable="TEST_PREDICTOR_KEY")("text é", "strict")) == ANSWER
     assert slept == [1.0, 7.0, 60.0, 8.0] and len(asked) == 5
-    assert asked[0] == ("/v1/systemone", "Bearer k", {"state": "text é", "model": "m-latest", "questions": {"variant": "strict"}})
+    assert asked[0] == ("/v1/answers", "Bearer k", {"state": "text é", "model": "m-latest", "questions": {"variant": "strict"}})
     slept.clear()
     told[:] = [(429, {}, "")]
     with pytest.raises(L.RateLimited):
