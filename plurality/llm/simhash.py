@@ -283,17 +283,20 @@ def near_duplicates(docs: DataFrame, *, id_col="doc_id", text_col="text", distan
     """One row for each row of ``docs``: ``doc_id, fingerprint, component_id``.
 
     Null, empty and wordless texts have fingerprint zero and link like any other. Repeated rows share their
-    component. Rows with a null id get the component of their fingerprint's other
-    rows, or null. An empty table gives no
-    rows. Only the two named columns are read.
+    component. Rows with a null id link like any other, and others through them; their component is the
+    smallest id they reach, null if they reach none. An empty table gives no rows. Only the two named columns
+    are read.
     """
     rows = materialize(fingerprints(docs, id_col, text_col), "simhash-fp")
-    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("id")).filter("id is not null"), "simhash-unique")
+    unique = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-unique")
     if unique.isEmpty():
         return rows.select("doc_id", _hex("fp").alias("fingerprint"), F.col("doc_id").alias("component_id"))
-    member = components(links(unique, distance))
+    # Fingerprints are the nodes, so rows without an id count too; ids only name the components.
+    member = materialize(components(links(unique.select(F.col("fp").alias("id"), "fp"), distance)), "simhash-member")
+    linked = unique.join(member.withColumnRenamed("node", "fp"), "fp")
+    named = linked.groupBy("component").agg(F.min("first").alias("top"))
     # Few fingerprints stand for many rows each: the join is by fingerprint, hot ones split by Spark.
-    labelled = unique.join(member, unique["id"] == member["node"], "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    labelled = unique.join(linked.join(named, "component").select("fp", "top"), "fp", "left").select("fp", F.coalesce("top", "first").alias("component_id"))
     labelled = materialize(labelled, "simhash-labels")
     return rows.join(labelled, "fp", "left").select("doc_id", _hex("fp").alias("fingerprint"), "component_id")
 
