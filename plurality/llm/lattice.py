@@ -253,15 +253,18 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
     """One row for each row of ``vectors``: ``vec_id, n_links, component_id, kept``.
 
     Vectors that are null, empty, zero, or hold null or non-finite numbers link with nothing. Vectors of
-    different lengths never link. Repeated rows link with each other; null ids have null components and
-    are not kept. An empty table gives no rows. Only the two named columns are read.
+    different lengths never link. Repeated rows link with each other, and rows that share an id each have the
+    links of their own vector. Rows with a null id link and count like any other, are not kept, and have the
+    smallest id they reach, or null. An empty table gives no rows. Only the two named columns are read.
     """
     single = "float" in vectors.schema[vector_col].dataType.simpleString()
     kind = "float" if single else "double"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.coalesce(F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
-    classes = materialize(rows.filter(valid & F.col("vec_id").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "e8-classes")
+    # A class is a vector: its written number is the node, ids only name the components.
+    classes = rows.filter(valid).groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "e8-classes")
     found = None
     for dim, n in classes.groupBy(F.size("v")).count().orderBy(F.desc("count")).collect():
         own = _links(classes.filter(F.size("v") == dim), plan(dim, n, cosine), cosine, single)
@@ -270,11 +273,13 @@ def near_duplicates(vectors: DataFrame, *, id_col="vec_id", vector_col="embeddin
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     found = materialize(found, "e8-links")
     links = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("links"))
-    member = components(found.filter("b is not null").select("a", "b"))
-    labels = classes.join(links, classes["id"] == links["a"], "left").join(member, classes["id"] == member["node"], "left")
-    labels = materialize(labels.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "e8-labels")
+    member = materialize(components(found.filter("b is not null").select("a", "b")), "e8-member")
+    linked = classes.select("id", "first").join(member.withColumnRenamed("node", "id"), "id")
+    top = linked.join(linked.groupBy("component").agg(F.min("first").alias("top")), "component").select("id", "top")
+    labels = classes.join(links, classes["id"] == links["a"], "left").join(top, "id", "left")
+    labels = materialize(labels.select("v", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("top", "first").alias("component_id")), "e8-labels")
     # One vector may stand in a third of all rows: its label meets them in the join, which Spark may split.
-    tagged = rows.withColumn("w", F.when(valid & F.col("vec_id").isNotNull(), F.col("v"))).join(labels.withColumnRenamed("v", "w"), "w", "left")
+    tagged = rows.withColumn("w", F.when(valid, F.col("v"))).join(labels.withColumnRenamed("v", "w"), "w", "left")
     out = tagged.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 

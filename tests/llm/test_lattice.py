@@ -50,4 +50,4 @@ def test_crowded_cells_are_cut_by_homes_and_probing_rows(spark, monkeypatch):
     assert 0.9 * want <= sum(r[1] for r in whole) <= want and want > 1000
     assert lattice.near_duplicates(vectors.limit(0)).count() == 0
     odd = spark.createDataFrame([(None, [1.0, 0.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert {(r["vec_id"], r["n_links"], r["kept"]) for r in lattice.near_duplicates(odd).collect()} == {(None, 0, False), (3, 0, True)}
+    assert {(r["vec_id"], r["n_links"], r["kept"]) for r in lattice.near_duplicates(odd).collect()} == {(None, 1, False), (3, 1, True)}
