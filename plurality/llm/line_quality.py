@@ -64,7 +64,11 @@ def _line_hashes(text: Column) -> Column:
 
 
 def _scan(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source", min_docs=MIN_DOCS, share=SHARE) -> tuple[DataFrame, DataFrame]:
-    """Counts and lines of every row, and which of its lines are boilerplate of its host."""
+    """Counts and lines of every row, and which of its lines are boilerplate of its host.
+
+    Rows bound documents from above, so lines of few rows fall out in one map-side combined count; of the rest
+    the distinct ids are counted. Rows with a null id are documents of their own.
+    """
     text = text_or_empty(text_col)
     dup_lines = let(F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
     in_words = let(
@@ -86,30 +90,38 @@ def _scan(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source
         "line-scan",
     )
     hosts = materialize(scanned.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs")), "line-hosts")
-    frequent = (
-        scanned.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    often = lambda docs: (F.col(docs) > min_docs) & ((F.col(docs) * share > F.col("host_docs")) | (F.col(docs) > MANY_DOCS))
+    candidates = (
+        scanned.select("host", "doc_id", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
         .groupBy("host", "h")
-        .agg(F.count(F.lit(1)).alias("docs"))
-        .filter(F.col("docs") > min_docs)
+        .agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("unnamed"))
+        .filter(F.col("rows") > min_docs)
         .join(hosts, "host")
-        .filter((F.col("docs") * share > F.col("host_docs")) | (F.col("docs") > MANY_DOCS))
+        .filter(often("rows"))
+    )
+    met = materialize(_met(scanned, candidates.select("host", "h", "unnamed", "host_docs"), hosts.agg(F.sum("host_docs")).first()[0] or 0), "line-met")
+    frequent = (
+        met.groupBy("host", "h")
+        .agg((F.count_distinct("doc_id") + F.max("unnamed")).alias("docs"), F.max("host_docs").alias("host_docs"))
+        .filter(often("docs"))
     )
-    return scanned, _met(scanned, frequent.select("host", "h"), hosts.agg(F.sum("host_docs")).first()[0] or 0)
+    return scanned, met.join(frequent.select("host", "h"), ["host", "h"]).select("host", "row_key", "h", "w")
 
 
-def _met(scanned: DataFrame, frequent: DataFrame, n: int) -> DataFrame:
-    """(host, row_key, h, w) of every line of ``scanned`` that is ``frequent``; a hot line meets its rows in many tasks."""
+def _met(scanned: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+    """Every line of ``scanned`` that is a candidate, with its row and id; a hot line meets its rows in many tasks."""
     salts = SALTS + n // SALT_DOCS
-    spread = frequent.select("host", "h", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    lines = scanned.select("host", "row_key", F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("line"))
-    return lines.select("host", "row_key", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(spread, ["host", "h", "salt"]).drop("salt")
+    spread = candidates.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    lines = scanned.select("host", "row_key", "doc_id", F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("line"))
+    return lines.select("host", "row_key", "doc_id", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(spread, ["host", "h", "salt"]).drop("salt")
 
 
 def line_quality(docs: DataFrame, *, max_removed=MAX_REMOVED_PERCENT, **options) -> DataFrame:
     """One row for each row of ``docs`` with its counts, ``removed_words``, ``base_failed`` and ``kept``.
 
-    Null text counts as empty (0 words: fails), null hosts are one host, rows that repeat whole count as
-    documents of their own and get equal results, an empty table gives no rows. Only named columns are
+    Null text counts as empty (0 words: fails), null hosts are one host. A line's documents are distinct ids, so
+    rows that repeat an id count once; rows with a null id count each. A host's documents are its rows. Rows that
+    repeat whole get equal results, an empty table gives no rows. Only named columns are
     read. Very long texts are single rows: their arrays are bounded by their own length. Options: ``id_col``,
     ``text_col``, ``host_col``, ``min_docs``, ``share``.
     """
