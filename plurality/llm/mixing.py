@@ -7,7 +7,8 @@ finish times over all sources, whose tokens fit the budget.
 
 Both running sums are two-level: a queue is cut into about sqrt(n) buckets of its shuffle hash (then of
 finish time), bucket totals get the prefix sums, and rows are only summed inside a bucket. So a source
-with a third of all rows is spread over as many tasks as any.
+with a third of all rows is spread over as many tasks as any. Rows that share an id, or have none, are told
+apart by their text's hash and a number, so each has a place of its own.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from plurality.llm.common import WORD, materialize, table, text_or_empty
 CYCLE = (1, 2, 3)
 EPOCHS = 3
 SEED = 7
+#: Equal rows are written out in chunks of so many.
+CHUNK = 10_000
 NULL_KEY, KEY = "null", "="
 
 
@@ -55,25 +58,40 @@ def source_targets(sized: DataFrame, cycle=CYCLE, epochs: int = EPOCHS, budget:
     return rows.select("skey", "source", "n", "source_size", "sid", "weight", F.round(target, 6).alias("target"))
 
 
+def _key(id_col: str, text_col: str, source_col: str) -> list:
+    """What tells rows apart: ``idkey, skey, t, size``, none of them null."""
+    key = lambda c: F.coalesce(F.concat(F.lit(KEY), F.col(c).cast("string")), F.lit(NULL_KEY))
+    text = text_or_empty(text_col)
+    return [key(id_col).alias("idkey"), key(source_col).alias("skey"), F.xxhash64(text).alias("t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")]
+
+
+def _numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows`` with the shuffle hash ``h``: of the id where its source has it once, else of id, text and number.
+
+    Equal rows are counted, which a hot one does map-side, and numbered by writing the count out again, in
+    chunks that meet different tasks.
+    """
+    counted = materialize(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n")), "mix-counted")
+    shared = materialize(counted.groupBy("idkey", "skey").agg(F.sum("n").alias("rows")).filter("rows > 1").select("idkey", "skey", F.lit(True).alias("shared")), "mix-shared")
+    once = counted.filter("n = 1").withColumn("number", F.lit(0).cast("long"))
+    chunks = counted.filter("n > 1").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition("idkey", "skey", "t", "chunk")
+    start = F.col("chunk") * CHUNK
+    more = chunks.withColumn("number", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("n")) - 1))).drop("chunk")
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    told = F.concat_ws(":", own, F.col("idkey"), F.col("t").cast("string"), F.col("number").cast("string"))
+    numbered = once.unionByName(more).join(shared, ["idkey", "skey"], "left")
+    return numbered.withColumn("h", F.md5(F.when(F.col("shared"), told).otherwise(own))).drop("n", "number", "shared")
+
+
 def fair_queue(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col="source", cycle=CYCLE, epochs=EPOCHS, budget=None, seed=SEED) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, source, skey, h, size, source_size, target, copies, taken``.
 
     ``copies`` is how many epochs of the document the mix takes, ``taken`` its words times that. Null text:
-    size 0, never taken. Null source: a source of its own, last. Null ids: shuffled as one value; ties and
-    repeated rows get equal places. Empty table: no rows. Only named columns are read, so others cannot clash.
+    size 0, never taken. Null source: a source of its own, last. Rows that repeat an id, or have none, are shuffled
+    apart by text and number, rows that repeat whole by number. Empty table: no rows. Only named columns are read,
+    so others cannot clash.
     """
-    doc_id = F.col(id_col).alias("doc_id")
-    source = F.col(source_col).cast("string").alias("source")
-    sized = materialize(
-        docs.select(
-            doc_id,
-            source,
-            F.coalesce(F.concat(F.lit(KEY), F.col(source_col).cast("string")), F.lit(NULL_KEY)).alias("skey"),
-            F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-            F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
-        ),
-        "mix-sized",
-    )
+    sized = materialize(_numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), *_key(id_col, text_col, source_col)), seed), "mix-sized")
     sources = materialize(source_targets(sized, cycle, epochs, budget), "mix-sources")
     unit = F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / float(2**32)
     placed = sized.join(sources.drop("source"), "skey").withColumn("bucket", F.floor(unit * F.ceil(F.sqrt("n"))))
@@ -83,7 +101,7 @@ def fair_queue(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     before = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy(*key).agg(F.sum("size").alias("tokens")).withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))).drop("tokens")
     queued = placed.withColumn("own", F.sum("size").over(inside)).join(totals, key).withColumn("upto", F.col("own") + F.col("before"))
-    queued = materialize(queued.select("doc_id", "source", "skey", "h", "size", "source_size", "sid", "target", "upto"), "mix-queued")
+    queued = materialize(queued.select("doc_id", "source", "skey", "idkey", "t", "h", "size", "source_size", "sid", "target", "upto"), "mix-queued")
 
     finish = lambda e: (F.col("upto") + F.lit(e) * F.col("source_size")) / F.col("target")
     place = lambda e: F.struct(finish(e).alias("finish"), F.col("sid"), F.lit(e).alias("epoch"), F.col("h"), F.col("doc_id"), F.col("size"))
@@ -128,18 +146,29 @@ def op7_weighted_fair_mix(spark, sf_dir):
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as many times as epochs were taken, zero-word rows never."""
+    """``docs`` as the mix takes them: each row as many times as epochs were taken, zero-word rows never.
+
+    Rows with the same id, source and text share what the mix takes of them evenly; where it does not divide,
+    which of them stands once more is not fixed.
+    """
+    key = ["idkey", "skey", "t", "size"]
     mixed = fair_queue(docs, **options)
-    copies = mixed.filter("copies > 0").groupBy("skey", "h", "size").agg(F.max("copies").alias("copies"))
-    seed = options.get("seed", SEED)
+    copies = mixed.groupBy(*key).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("n")).filter("copies > 0")
     id_col, text_col, source_col = options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source")
-    keyed = docs.select(
-        F.struct("*").alias("_row"),
-        F.coalesce(F.concat(F.lit(KEY), F.col(source_col).cast("string")), F.lit(NULL_KEY)).alias("skey"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("h"),
-        F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("size"),
-    )
-    return keyed.join(copies, ["skey", "h", "size"]).select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+    keyed = docs.select(F.struct("*").alias("_row"), *_key(id_col, text_col, source_col))
+    out = keyed.join(copies.filter("n = 1"), key).select("_row", "copies")
+    several = materialize(copies.filter("n > 1"), "mix-several")
+    if not several.isEmpty():
+        # Rows are numbered inside the written parts, whose totals give each part its offset.
+        repeats = keyed.join(several, key).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+        repeats = materialize(repeats, "mix-repeats")
+        before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = repeats.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("own")).withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))).drop("own")
+        number = F.row_number().over(Window.partitionBy(*key, "part").orderBy("at")) + F.col("before")
+        numbered = repeats.join(offsets, [*key, "part"]).withColumn("number", number)
+        share = F.expr("copies div n") + F.when(F.col("number") <= F.col("copies") % F.col("n"), 1).otherwise(0)
+        out = out.unionByName(numbered.select("_row", share.alias("copies")).filter("copies > 0"))
+    return out.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long")))).select("_row.*")
 
 
 #: The mix in DuckDB SQL over a relation {docs}; shared with the pipeline's oracle.
