@@ -99,21 +99,24 @@ def _scan(docs: DataFrame, *, id_col="doc_id", text_col="text", host_col="source
         .join(hosts, "host")
         .filter(often("rows"))
     )
-    met = materialize(_met(scanned, candidates.select("host", "h", "unnamed", "host_docs"), hosts.agg(F.sum("host_docs")).first()[0] or 0), "line-met")
+    salts = SALTS + (hosts.agg(F.sum("host_docs")).first()[0] or 0) // SALT_DOCS
+    met = materialize(_met(scanned, candidates.select("host", "h", "unnamed", "host_docs"), salts), "line-met")
     frequent = (
         met.groupBy("host", "h")
         .agg((F.count_distinct("doc_id") + F.max("unnamed")).alias("docs"), F.max("host_docs").alias("host_docs"))
         .filter(often("docs"))
     )
-    return scanned, met.join(frequent.select("host", "h"), ["host", "h"]).select("host", "row_key", "h", "w")
+    return scanned, met.join(_spread(frequent.select("host", "h"), salts), ["host", "h", "salt"]).select("host", "row_key", "h", "w")
 
 
-def _met(scanned: DataFrame, candidates: DataFrame, n: int) -> DataFrame:
+def _spread(lines: DataFrame, salts: int) -> DataFrame:
+    return lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+
+def _met(scanned: DataFrame, candidates: DataFrame, salts: int) -> DataFrame:
     """Every line of ``scanned`` that is a candidate, with its row and id; a hot line meets its rows in many tasks."""
-    salts = SALTS + n // SALT_DOCS
-    spread = candidates.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     lines = scanned.select("host", "row_key", "doc_id", F.pmod("row_key", F.lit(salts)).cast("int").alias("salt"), F.explode("lines").alias("line"))
-    return lines.select("host", "row_key", "doc_id", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(spread, ["host", "h", "salt"]).drop("salt")
+    return lines.select("host", "row_key", "doc_id", "salt", F.col("line.h").alias("h"), F.col("line.w").alias("w")).join(_spread(candidates, salts), ["host", "h", "salt"])
 
 
 def line_quality(docs: DataFrame, *, max_removed=MAX_REMOVED_PERCENT, **options) -> DataFrame:
