@@ -3,7 +3,8 @@
 Every element of the page's tree gets its characters, tags, link characters and link tags; its density is
 characters per tag, weighed down by the share of links. The element whose children's densities have the
 largest sum is the core of the article; the least density on the way from the body to it is the threshold
-that tells which neighbours of that way belong to the article too.
+that tells which paragraphs beside that way belong to the article too. Containers beside it, which may be sidebars
+or further articles, have to be at least half as dense as the core itself.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ NAMES = frozenset(
     "subscribe subscription signup login social share sharing related recommended widget pagination pager search skip complementary contentinfo toolbar".split()
 )
 ROOTS = frozenset(["article", "main"])
+#: Share of the core's density that a container beside the way must reach.
+BESIDE = 0.5
 #: What a boilerplate name leaves of a container's density; paragraphs and the like are not weighed.
 NAME_WEIGHT = 0.1
 PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption table li dd dt em strong b i span a code".split())
@@ -223,9 +226,11 @@ def main_text(source: str) -> str:
     while path[-1] not in (page.body, 0):
         path.append(page.parents[path[-1]])
     threshold = min((density[i] for i in path if density[i] > 0), default=0.0)
-    # The outermost article or main on the way is looked at whole; else neighbours of the way join it by the threshold.
+    # The outermost article or main on the way is looked at whole; beside the way, further ones join it by the
+    # boundary's threshold, and where there is none, all neighbours by theirs.
     roots, way = [i for i in path if page.tags[i] in ROOTS], set(path)
     core = roots[-1] if roots else best
+    boundary = max(threshold, BESIDE * density[core])
     chosen = [False] * n
     for i in range(n):
         up = page.parents[i]
@@ -238,7 +243,8 @@ def main_text(source: str) -> str:
             # Below the core, links and what its name calls boilerplate must be as dense as the threshold.
             chosen[i] = i in way or dense or not (page.named[i] or page.tags[i] != "a" and 2 * link_chars[i] > chars[i])
         else:
-            chosen[i] = up in way and i not in way and not roots and dense
+            beside = up in way and i not in way and (page.tags[i] in ROOTS or not roots)
+            chosen[i] = beside and density[i] >= (threshold if page.tags[i] in PLAIN else boundary)
     return " ".join("".join(text if chosen[node] else " " for node, text in page.texts).split())
 
 

@@ -69,3 +69,34 @@ def test_edges(spark):
     got = H.extract_text(pages).collect()
     assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 0), (1, len(BODY) - 1), (1, len(BODY) - 1), (2, 0), (3, 20_000 * len(BODY) - 1)]
     assert H.extract_text(pages.limit(0)).count() == 0
+
+
+def paragraphs(n, start=0):
+    return "".join(f"<p>Paragraph {start + k}. {BODY}</p>" for k in range(n))
+
+
+def plain(n, start=0):
+    return " ".join(f"Paragraph {start + k}. {BODY.strip()}" for k in range(n))
+
+
+LINKS = "".join(f"<a href='/{k}'>Menu entry {k}</a> " for k in range(20))
+
+
+def test_both_articles_of_a_page_stay():
+    page = f"<body><div>{LINKS}</div><article>{paragraphs(3)}</article><article>{paragraphs(6, 3)}</article><div>{LINKS}</div></body>"
+    assert H.main_text(page) == plain(9)
+    page = f"<body><main><article>{paragraphs(6)}</article><article>{paragraphs(3, 6)}</article></main><footer>{BODY}</footer></body>"
+    assert H.main_text(page) == plain(9)
+
+
+def test_sidebars_stay_out_without_article_or_main():
+    page = f"<body><div>{LINKS}</div><div id=wrap><div id=content>{paragraphs(6)}</div><div id=sidebar>{paragraphs(3, 6)}</div></div></body>"
+    assert H.main_text(page) == plain(6)
+    page = f"<body><div>{LINKS}</div><div id=wrap><h1>{BODY}</h1><div id=content>{paragraphs(6)}</div><p>{BODY}</p></div></body>"
+    assert H.main_text(page) == f"{BODY}{plain(6)} {BODY.strip()}"
+
+
+def test_long_reader_comments_stay_out():
+    said = "".join(f"<div class=comment><p>{BODY * 3}</p></div>" for _ in range(9))
+    for inner in (f"<article>{paragraphs(4)}</article><section id=comments>{said}</section>", f"<article>{paragraphs(4)}<section id=comments>{said}</section></article>", f"<div>{paragraphs(4)}</div><div id=comments>{said}</div>"):
+        assert H.main_text(f"<body><div>{LINKS}</div>{inner}</body>") == plain(4)
