@@ -7,23 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.plans.panel import stand_in_points
-
 KEEP = ["item_id", "content_id", "bucket", "source", "text", "n_annotators", "n_votes", "confidence_mean"]
 SPLIT = ["split", "sensitivity"]
 
 
-def prediction_columns(codes: list[str]) -> list:
-    """Stand-in probabilities of the canonical (p_) and the strict (q_) wording of each code."""
-    points = {c: stand_in_points(c, F.col(f"votes_{c}"), F.col("n_votes")) for c in codes}
-    p = [(points[c] / 200).alias(f"p_{c}") for c in codes]
-    return p + [(F.floor(4 * points[c] / 5) / 200).alias(f"q_{c}") for c in codes]
-
-
-def predictions(items: DataFrame, codes: list[str]) -> DataFrame:
-    return items.select("item_id", *prediction_columns(codes))
-
-
 def join_predictions(items: DataFrame, predicted: DataFrame) -> DataFrame:
     return items.join(predicted, "item_id", "inner")
 

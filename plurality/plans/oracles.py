@@ -151,6 +151,28 @@ SQL["excluded_items"] = q(ITEMS, "SELECT item_id, 'few annotators' AS reason FRO
 SQL["annotator_histogram"] = q(ITEMS, "SELECT n_annotators, count(*)::BIGINT AS items FROM items GROUP BY ALL")
 SQL["half_ties"] = q(LONG, "SELECT code, CASE WHEN h > 0.5 THEN 'pos' WHEN h < 0.5 THEN 'neg' ELSE 'tie' END AS side, count(*)::BIGINT AS items, (count(*) FILTER (h = 0.5))::BIGINT AS at_half FROM long GROUP BY ALL")
 SQL["audit_summary"] = q(ITEMS, "SELECT " + ", ".join(f"(SELECT count(*) FROM {t})::BIGINT AS {n}" for n, t in (("raw_rows", "raw"), ("after_exact", "exact"), ("after_semantic", "sem"), ("conflicting_pairs", "pairs"), ("conflicted_items", "conf"), ("retained_votes", "kept"), ("retained_items", "items"), ("eligible_items", "elig"))))
+_CONFIG = '{"codes":["A","N","R","F","O","BULK"],"dev_items_target":1000,"min_annotators_required":3,"seed":42,"sensitivity_items_target":1000}'
+_LISTED = lambda x, t, where="TRUE": f"(SELECT coalesce(to_json(list_sort(list(DISTINCT {x})))::VARCHAR, '[]') FROM {t} WHERE {where})"
+SQL["audit_record"] = q(ITEMS + _split("elig", 1000, 1000) + """,
+respelt AS (SELECT bucket, source, text, annotator, array_to_string(list_sort(list_distinct(string_split(annotation, ','))), ',') AS labels, confidence FROM exact GROUP BY ALL HAVING count(*) > 1),
+hist AS (SELECT n_annotators AS k, count(*) AS v FROM items GROUP BY 1)""", " UNION ALL ".join(f"SELECT '{field}' AS field, ({value})::VARCHAR AS value" for field, value in {
+    "pipeline_version": "'1'", "config_fingerprint": f"sha256('{_CONFIG}')", "min_annotators_required": "3", "dev_items_target": "1000", "sensitivity_items_target": "1000",
+    "raw_rows_before_exact_dedup": "SELECT count(*) FROM raw", "raw_rows_after_exact_dedup": "SELECT count(*) FROM exact",
+    "exact_duplicate_rows_removed": "(SELECT count(*) FROM raw) - (SELECT count(*) FROM exact)", "semantic_duplicates_removed": "(SELECT count(*) FROM exact) - (SELECT count(*) FROM sem)",
+    "semantic_duplicate_groups": "SELECT count(DISTINCT (bucket, source, text, annotator)) FROM respelt", "conflicting_item_annotator_groups": "SELECT count(*) FROM pairs",
+    "items_excluded_for_conflicts": "SELECT count(*) FROM conf", "rows_excluded_for_conflicting_items": "(SELECT count(*) FROM sem) - (SELECT count(*) FROM kept)",
+    "items_before_conflict_exclusion": "SELECT count(DISTINCT (bucket, source, text)) FROM raw", "items_remaining_after_conflict_exclusion": "SELECT count(*) FROM items",
+    "retained_item_annotator_pairs_unique": "SELECT count(*) = count(DISTINCT (bucket, source, text, annotator)) FROM kept",
+    "items_excluded_lt_min_annotators": "SELECT count(*) FROM items WHERE n_annotators < 3", "unique_items_all": "SELECT count(*) FROM items", "eligible_items": "SELECT count(*) FROM elig",
+    "annotator_count_distribution_all": """SELECT '{' || coalesce(string_agg('"' || k || '":' || v, ',' ORDER BY k), '') || '}' FROM hist""",
+    "dev_items": "SELECT count(*) FROM assigned WHERE split = 'dev'", "test_items": "SELECT count(*) FROM assigned WHERE split = 'test'", "sensitivity_items": "SELECT count(*) FROM assigned WHERE sensitivity",
+    "exact_text_grouped_across_splits": "SELECT count(*) = 0 FROM (SELECT text FROM assigned GROUP BY text HAVING count(DISTINCT split) > 1)",
+    "cross_source_exact_text_groups": "SELECT count(*) FROM (SELECT text FROM raw GROUP BY text HAVING count(DISTINCT (bucket, source)) > 1)",
+    "sources": _LISTED("source", "raw"), "buckets": _LISTED("bucket", "raw"), "source_cells": _LISTED("bucket || ' :: ' || source", "raw"),
+    "source_cell_count": "SELECT count(DISTINCT (bucket, source)) FROM raw", "confidence_values": _LISTED("confidence", "raw", "confidence <> ''"),
+    "atomic_labels": _LISTED("label", "(SELECT unnest(string_split(labels, ',')) AS label FROM sem)"),
+    "exact_half_ties_by_code": "SELECT '{' || " + " || ',' || ".join(f"""'"{c}":' || count(*) FILTER (2 * votes_{c} = n_votes)""" for c in CODES) + " || '}' FROM elig",
+}.items()))
 SQL["source_cells"] = q(ITEMS, "SELECT count(DISTINCT cell)::BIGINT AS cells, string_agg(DISTINCT cell, '|' ORDER BY cell) AS names FROM (SELECT bucket || ' :: ' || source AS cell FROM elig)")
 SQL["atomic_labels"] = q(VOTES, "SELECT label, count(*)::BIGINT AS votes, count(DISTINCT (bucket, source, text))::BIGINT AS items FROM (SELECT *, unnest(string_split(labels, ',')) AS label FROM sem) GROUP BY label")
 SQL["confidence_levels"] = q(VOTES, "SELECT confidence, count(*)::BIGINT AS votes, (CASE confidence WHEN 'Not Confident' THEN 0.0 WHEN 'Somewhat Confident' THEN 0.5 WHEN 'Confident' THEN 1.0 END)::DOUBLE AS value FROM sem GROUP BY confidence")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plurality.functions import exprs as X
 from plurality.functions import stats as S
 from plurality.operators import analysis as A
+from plurality.operators import audit as D
 from plurality.operators import cache as H
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
@@ -20,7 +21,7 @@ from plurality.operators import scores as L
 from plurality.operators import split as G
 from plurality.operators import suite as U
 from plurality.plans import oracles
-from plurality.plans.panel import CODES, document_items, order_votes, table
+from plurality.plans.panel import CODES, document_items, order_votes, prediction_columns, predictions, table
 from plurality.sources import storage
 
 DEV, SENSITIVITY, BUDGETS = 1000, 1000, (0, 5, 10, 20, 30)
@@ -57,7 +58,7 @@ def items(spark, sf_dir):
 
 def wide(spark, sf_dir):
     """Items with their stand-in probabilities: computed beside the shares, so nothing is joined."""
-    return items(spark, sf_dir).select("*", *L.prediction_columns(CODES))
+    return items(spark, sf_dir).select("*", *prediction_columns(CODES))
 
 
 def long(spark, sf_dir):
@@ -139,6 +140,11 @@ def audit_summary(spark, sf_dir):
     return C.audit(order_votes(spark, sf_dir), CODES)
 
 
+@query
+def audit_record(spark, sf_dir):
+    return D.audit_record(order_votes(spark, sf_dir), CODES, dev=DEV, sensitivity=SENSITIVITY)
+
+
 @query
 def source_cells(spark, sf_dir):
     names = items(spark, sf_dir).select(X.cell_name(F.col("bucket"), F.col("source")).alias("cell")).distinct()
@@ -244,14 +250,14 @@ def wide_scores(spark, sf_dir):
 @query
 def prediction_join(spark, sf_dir):
     own = items(spark, sf_dir)
-    joined = L.join_predictions(own, L.predictions(own, CODES))
+    joined = L.join_predictions(own, predictions(own, CODES))
     return rounded(L.long_scores(joined, CODES).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"), F.avg("h").alias("mean_h")))
 
 
 @query
 def prediction_completeness(spark, sf_dir):
     own = items(spark, sf_dir)
-    some = L.predictions(own, CODES).filter(F.substring("item_id", 1, 1) != "0")
+    some = predictions(own, CODES).filter(F.substring("item_id", 1, 1) != "0")
     return K.unmatched(own, some, "item_id").select("item_id", "n_annotators")
 
 

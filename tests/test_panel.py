@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plurality.functions import exprs as X
 from plurality.functions import stats as S
+from plurality.operators import audit as D
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
 from plurality.operators import inference as I
@@ -41,6 +42,24 @@ def test_cleaning_steps_and_row_order(spark):
     assert audit == {"raw_rows": 11, "after_exact": 10, "after_semantic": 9, "conflicting_pairs": 1, "conflicted_items": 1, "retained_votes": 5, "retained_items": 2, "eligible_items": 1}
 
 
+def test_audit_record_names_every_step_and_takes_an_empty_table(spark):
+    rows = BASE + [row("t1", "a", "care,loyal"), row("t1", "b", "loyal, care"), row("t2", "c", "loyal")]
+    found = dict(D.audit_record(votes(spark, rows, 3), ["care", "loyal"], dev=1, sensitivity=1, raw_sha256="abc").collect())
+    want = {
+        "raw_rows_before_exact_dedup": "11", "raw_rows_after_exact_dedup": "10", "exact_duplicate_rows_removed": "1", "semantic_duplicates_removed": "1",
+        "semantic_duplicate_groups": "1", "conflicting_item_annotator_groups": "1", "items_excluded_for_conflicts": "1", "rows_excluded_for_conflicting_items": "4",
+        "items_before_conflict_exclusion": "3", "items_remaining_after_conflict_exclusion": "2", "items_excluded_lt_min_annotators": "1", "eligible_items": "1",
+        "retained_item_annotator_pairs_unique": "true", "annotator_count_distribution_all": '{"2":1,"3":1}', "dev_items": "1", "test_items": "0", "sensitivity_items": "0",
+        "atomic_labels": '["care","loyal","none"]', "exact_half_ties_by_code": '{"care":0,"loyal":0}', "raw_sha256": "abc", "exact_text_grouped_across_splits": "true",
+    }
+    assert {k: found[k] for k in want} == want and len(found) == 33
+    empty = dict(D.audit_record(votes(spark, []), ["care"], dev=1, sensitivity=1).collect())
+    assert empty["raw_rows_before_exact_dedup"] == empty["dev_items"] == "0" and empty["sources"] == "[]" and empty["annotator_count_distribution_all"] == "{}"
+    crossed = [row("same", w, "care") for w in "abc"] + [row("same", w, "care", source="other") for w in "abc"]
+    both = dict(D.audit_record(votes(spark, crossed), ["care"], dev=1, sensitivity=1).collect())
+    assert (both["cross_source_exact_text_groups"], both["source_cell_count"], both["dev_items"]) == ("1", "2", "2")
+
+
 def test_conflict_in_confidence_excludes_the_item_and_nothing_else(spark):
     assert shares(spark, BASE + [row("t3", "a", "care", "Not Confident")]) == [x for x in shares(spark, BASE) if x[0] != "t3"]
     with pytest.raises(ValueError):
