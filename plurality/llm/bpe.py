@@ -21,7 +21,7 @@ from plurality.llm.common import table, text_or_empty
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a slice, bytes of words in one recursive query, words kept from slice to slice, and the
 #: length in bytes above which words take the query that contracts all places of a pair at once.
-SLICE, QUERY, KEPT, LONG = 1 << 20, 400_000, 400_000, 64
+SLICE, QUERY, KEPT, LONG = 1 << 18, 100_000, 300_000, 64
 
 _PAIRS = """
   pairs AS (SELECT w, p, t, lead(t) OVER s AS nt, lag(p) OVER s AS prev FROM bpe WHERE live WINDOW s AS (PARTITION BY w ORDER BY p)),
