@@ -29,6 +29,9 @@ COSINE = 0.9
 CELL_ROWS, RECALL, SEED, TRIALS = 64, 0.98, 11, 1200
 #: Homes of a cell, and probing rows of a cell, from which it is cut into blocks.
 BLOCK, PROBES = 512, 2048
+#: Gains of moves that a task holds at a time, whatever the plan's tables and blocks; units of fixed-point numbers:
+#: of vectors, of projections, and of what a decoded block is off. Sums of them are exact, so no order of adding matters.
+_HELD, _UNIT, _TURN, _OFF = 1 << 20, 2.0**23, 2.0**22, 2.0**18
 
 
 def _decode_d8(x: np.ndarray) -> np.ndarray:
@@ -64,32 +67,37 @@ class Index:
         for _ in range(tables):
             g = rng.normal(size=(dim, width))
             parts.append(np.linalg.qr(g)[0] * np.sqrt(dim / 8) if dim >= width else g / np.sqrt(8))
-        self.q = np.hstack(parts) * spread
+        self.q = np.rint(np.hstack(parts) * spread * _TURN)
         self.shift = rng.uniform(size=tables * width)
 
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables, 1 + probes) cell keys, the own one first.
 
-        Sums run in one fixed order, so a vector has the same keys in whatever batch it stands.
+        Some rows at a time, so that memory does not grow with the plan. Sums are exact, so a vector has the same
+        keys in whatever batch it stands.
         """
-        dim, tables, blocks, _, probes = self.shape
-        y = np.tile(self.shift, (len(unit), 1))
-        for d in range(dim):
-            y += unit[:, d, None] * self.q[d]
-        y = y.reshape(-1, 8)
+        _, tables, blocks, _, probes = self.shape
+        out, some = np.empty((len(unit), tables, 1 + probes), np.uint64), max(1, _HELD // (tables * blocks * 240))
+        for at in range(0, len(unit), some):
+            out[at : at + some] = self._keys(unit[at : at + some])
+        return out
+
+    def _keys(self, unit: np.ndarray) -> np.ndarray:
+        _, tables, blocks, _, probes = self.shape
+        y = (np.rint(unit * _UNIT) @ self.q / (_UNIT * _TURN) + self.shift).reshape(-1, 8)
         at = decode_e8(y)
         points = np.rint(2 * at).astype(np.int64).reshape(len(unit), tables, blocks, 8)
         out = np.empty((len(unit), tables, 1 + probes), np.uint64)
         out[:, :, 0] = self._hash(points)
         # Moving a block to a neighbouring point brings it nearer by the gain below; the best moves are probed.
-        gain = ((y - at) @ neighbours().T).reshape(len(unit), tables, blocks * 240)
-        best = np.argsort(-gain, axis=2, kind="stable")[:, :, :probes]
+        gain = (np.rint((y - at) * _OFF).astype(np.float32) @ neighbours().T.astype(np.float32)).reshape(len(unit), tables, blocks * 240)
         moves = np.rint(2 * neighbours()).astype(np.int64)
         for p in range(probes):
+            best = gain.argmax(2)
+            np.put_along_axis(gain, best[:, :, None], -np.inf, 2)
             moved = points.copy()
-            block, which = best[:, :, p] // 240, best[:, :, p] % 240
             for b in range(blocks):
-                moved[:, :, b] += np.where((block == b)[:, :, None], moves[which], 0)
+                moved[:, :, b] += np.where((best // 240 == b)[:, :, None], moves[best % 240], 0)
             out[:, :, 1 + p] = self._hash(moved)
         return out
 
