@@ -51,6 +51,14 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Fewer rows a batch to Python than Spark's standard 10,000, which of long texts are tens of MB in the executor's JVM
+    and in its worker. A value that the session has set otherwise stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

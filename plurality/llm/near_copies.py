@@ -1,9 +1,10 @@
 """Near copies by word shingles: texts whose sets of five-word shingles have similarity 0.8 or more.
 
-SimHash bits cannot find these whole: at similarity 0.8 about 9.7 of 64 bits differ on average, and a distance
-that holds nearly all such pairs leaves the pigeonhole index next to nothing to part rows by. Candidates are
-therefore texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes (99.96% of pairs at similarity
-0.8, more above), and each link is verified on the shingles themselves.
+Candidates come from the SimHash pigeonhole index first (``llm/simhash.py``, fingerprints of the five-word shingles
+at most four bits apart): it ties the close copies. Its bits cannot find all: at similarity 0.8 about 9.7 of 64 bits differ
+on average, and a distance that holds nearly all such pairs leaves that index next to nothing to part rows by. The rest
+are therefore texts that agree in one of ``BANDS`` bands of ``ROWS`` minimum hashes (99.96% of pairs at similarity 0.8, more
+above). Every link, of either index, is verified on the shingles themselves.
 
 Equal sets are one row throughout. In a band's bucket rows are first tied to one centre, then to the most typical row,
 which is like all that are not far from the rest; only pairs that are still apart, and whose shingles outside
@@ -16,7 +17,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import materialize, text_or_empty
+from plurality.llm import simhash
+from plurality.llm.common import materialize, short_batches, text_or_empty
 from plurality.llm.components import components
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 5
@@ -58,6 +60,14 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed number: the bits that over half of them have."""
+    votes = np.zeros(simhash.BITS, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        votes += np.unpackbits(hashes[at : at + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _key(hashes: np.ndarray) -> int:
     import xxhash
 
@@ -83,7 +93,7 @@ def _sketches(batches):
 
     for batch, sets in _texts(batches, 1):
         keys = pa.array(_signed([_key(s) for s in sets]))
-        yield pa.record_batch([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int32()), pa.array([_signed(bands(s)) for s in sets], pa.list_(pa.int64()))], ["doc", "th", "k", "size", "bands"])
+        yield pa.record_batch([batch.column(0), batch.column(2), keys, pa.array([len(s) for s in sets], pa.int32()), pa.array([_signed(bands(s)) for s in sets], pa.list_(pa.int64())), pa.array([fingerprint(s) for s in sets])], ["doc", "th", "k", "size", "bands", "fp"])
 
 
 def _sets(batches):
@@ -114,19 +124,38 @@ def _labelled(met: DataFrame, edges: DataFrame) -> DataFrame:
     return met.select("bucket", "k", "size").join(member, "k", "left").select("bucket", "k", "size", F.coalesce("component", "k").alias("c"))
 
 
+def _by_fingerprint(prints: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of sets whose fingerprints are at most ``simhash.DISTANCE`` bits apart: each set with the first of its
+    fingerprint, and such firsts along the forest of the pigeonhole index."""
+    first = materialize(prints.groupBy("fp").agg(F.min(F.struct("k", "size")).alias("m")), "near-prints")
+    pairs = prints.join(first, "fp").filter((F.col("k") != F.col("m.k")) & _alike("size", "m.size")).select(*_pair("k", "m.k"))
+    if first.isEmpty():
+        return pairs
+    x, y = (first.select(F.col("fp").alias(c), F.col("m").alias("m" + c)) for c in "ab")
+    tied = simhash.links(first.select(F.col("fp").alias("id"), "fp")).distinct()
+    across = tied.join(x, "a").join(y, "b").filter(_alike("ma.size", "mb.size")).select(*_pair("ma.k", "mb.k"))
+    return pairs.unionByName(across)
+
+
 def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges ``(a, b)`` between sets that tie together what similar candidates tie together.
 
-    ``rows(doc, th, k, size, bands)`` has one row a document, ``docs(doc, text, th)`` the texts.
+    ``rows(doc, th, k, size, bands, fp)`` has one row a document, ``docs(doc, text, th)`` the texts.
     """
     one = rows.groupBy("k").agg(F.min(F.struct("doc", "th")).alias("row"), F.min("size").alias("size"), F.min("bands").alias("bands")).filter("size > 0")
     placed = materialize(one.select("k", "row", "size", F.explode("bands").alias("bucket")), "near-bands")
     several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     met = materialize(placed.join(several, "bucket"), "near-met")
-    wanted = met.select("row.doc", "row.th").distinct()
+    prints = rows.filter("size > 0").groupBy("k").agg(F.min(F.struct("doc", "th")).alias("row"), F.min("size").alias("size"), F.min("fp").alias("fp"))
+    prints = materialize(prints, "near-one")
+    close = materialize(_by_fingerprint(prints), "near-close")
+    ends = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    named = materialize(met.select("k", "row").unionByName(ends.join(prints, "k").select("k", "row")).distinct(), "near-named")
+    wanted = named.select("row.doc", "row.th").distinct()
     sets = docs.join(wanted, ["doc", "th"], "left_semi").select("text").mapInArrow(_sets, "k long, hashes array<long>")
-    sets = materialize(sets.join(met.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("hashes").alias("hashes")), "near-sets")
-    open_rows, edges, often = met.select("bucket", "k", "size", F.col("k").alias("c")), None, None
+    sets = materialize(sets.join(named.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("hashes").alias("hashes")), "near-sets")
+    edges, often = materialize(_verified(close, sets), "near-tied"), None
+    open_rows = materialize(_labelled(met, edges), "near-labels")
     before, many = float("inf"), False
     for turn in range(CENTRES):
         # Buckets whose rows are still apart, and the pairs left in them.
@@ -146,10 +175,10 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
             centre = open_rows.groupBy("bucket").agg(F.min_by(F.struct("k", "size", "c"), F.xxhash64(F.lit(turn), F.col("k"))).alias("m"))
         tied = open_rows.join(centre, "bucket").filter((F.col("c") != F.col("m.c")) & _alike("size", "m.size")).select(*_pair("k", "m.k")).distinct()
         found = materialize(_verified(tied, sets), "near-tied")
-        edges = found if edges is None else materialize(edges.unionByName(found), "near-edges")
+        edges = materialize(edges.unionByName(found), "near-edges")
         open_rows = materialize(_labelled(open_rows, edges), "near-labels")
     rest = _verified(_apart(open_rows, often) if many and often is not None else _any_apart(open_rows), sets)
-    return rest if edges is None else edges.unionByName(rest)
+    return edges.unionByName(rest)
 
 
 def _often(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -190,8 +219,9 @@ def _apart(open_rows: DataFrame, often: DataFrame) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, k, c) of each row: id (null: after all others), hash of the text, its set, and what similar sets share."""
+    short_batches(docs.sparkSession)
     texts = docs.select(_place(id_col).alias("doc"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("th"))
-    rows = materialize(texts.mapInArrow(_sketches, "doc long, th long, k long, size int, bands array<long>"), "near-sketches")
+    rows = materialize(texts.mapInArrow(_sketches, "doc long, th long, k long, size int, bands array<long>, fp long"), "near-sketches")
     member = materialize(components(links(rows, texts)), "near-members")
     return rows.select("doc", "th", "k").join(member, F.col("k") == F.col("node"), "left").select("doc", "th", F.coalesce("component", "k").alias("c"))
 

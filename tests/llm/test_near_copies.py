@@ -108,3 +108,18 @@ def test_a_crowded_group_loses_no_link(spark, monkeypatch):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     assert got == {i: top(i) for i in range(len(texts))} and len(set(got.values())) > 3 and used
+
+
+def test_the_pigeonhole_index_ties_copies_that_share_no_band(spark):
+    rng = random.Random(4)
+    base = [[f"w{rng.randint(0, 400)}" for _ in range(300)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(base)] + [(100 + i, edited(rng, w, 1)) for i, w in enumerate(base)]
+    texts = spark.createDataFrame(rows, "doc long, text string").selectExpr("doc", "text", "xxhash64(text) AS th")
+    sketches = texts.mapInArrow(near_copies._sketches, "doc long, th long, k long, size int, bands array<long>, fp long")
+    k = {r.doc: r.k for r in sketches.collect()}
+    found = {frozenset(r) for r in near_copies.links(sketches.selectExpr("doc", "th", "k", "size", "array(k) AS bands", "fp"), texts).collect()}
+    sets = {k[i]: brute_set(t) for i, t in rows}
+    assert all(similar(*(sets[x] for x in pair)) for pair in found)
+    fps = {r.doc: r.fp & (2**64 - 1) for r in sketches.collect()}
+    close = {frozenset((k[i], k[100 + i])) for i in range(20) if (fps[i] ^ fps[100 + i]).bit_count() <= simhash.DISTANCE}
+    assert len(close) > 10 and close <= found
