@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plurality.llm import bpe, language, mixing, near_copies, secrets
-from plurality.llm.common import discard, materialize
+from plurality.llm.common import discard, materialize, short_batches
 
 #: Least posterior of a language that a document is accepted with: more likely than all others together.
 MIN_POSTERIOR = 0.5
@@ -26,12 +26,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     Without a labelled row nothing is learned, and every text with a letter stays. Equal texts fare alike.
     """
+    short_batches(spark)
     return _columns(language.accept_language(docs, min_score=MIN_POSTERIOR), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stays: of each group linked by five-word shingle similarity of 0.8 or more, the document with the smallest id.
 
+    SimHash fingerprints of the shingles and their pigeonhole index tie close copies, bands of minimum hashes the others.
     Null text counts as empty, null ids come after all others; of rows that repeat whole one stays.
     """
     return _columns(near_copies.keep_one(docs), docs)
@@ -52,6 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row of the mix."""
+    short_batches(spark)
     return bpe.encode(docs)
 
 
