@@ -20,13 +20,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import discard, materialize, table, text_or_empty
+from plurality.llm.common import discard, materialize, short_batches, table, text_or_empty
 
 GRID, SMOOTH, LEAST_DOCS, TOP = 1_000_000_000, 5, 30, 50
 #: Terms of a shard and groups of a block on average; rounds of a job; distinct terms and bytes a counting task holds.
-TERMS, GROUPS, LAP, HELD, SLICE = 1024, 8, 16, 200_000, 1 << 20
+TERMS, GROUPS, LAP, HELD, SLICE = 1024, 8, 16, 400_000, 1 << 20
 
-_TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+#: Bytes of terms, A-Z lower-cased; all others part terms.
+_LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
@@ -46,24 +47,30 @@ def _counts(batches):
     held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
     def flush():
-        rows = [(*group, term, n, docs[term]) for group, (counts, docs) in held.items() for term, n in [*counts.items(), (None, 0)]]
-        held.clear()
-        lang, source, term, n, docs = zip(*rows, strict=True)
-        return pa.record_batch([pa.array(lang), pa.array(source), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
-
+        while held:
+            (lang, source), (counts, docs) = held.popitem()
+            size = len(counts) + 1
+            terms, n = pa.array([*counts, None], pa.binary()).cast(pa.string()), np.fromiter(counts.values(), np.int64, size - 1)
+            own = np.fromiter(map(docs.__getitem__, counts), np.int64, size - 1)
+            yield pa.record_batch([pa.repeat(lang, size), pa.repeat(source, size), terms, pa.array(np.append(n, 0)), pa.array(np.append(own, 0))], ["lang", "source", "term", "n", "docs"])
+
+    size = 0
     for batch in batches:
-        for lang, source, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        langs, sources, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary())
+        for lang, source, text in zip(langs, sources, texts, strict=True):
             counts, docs = held.setdefault((lang, source), (Counter(), Counter()))
+            size -= len(counts)
             seen: set[bytes] = set()
-            for part in _slices(text.encode().lower()):
-                words = _TERM.findall(part)
+            for part in _slices(text.as_py()):
+                words = part.translate(_LOWER).split()
                 counts.update(words)
                 seen.update(words)
             docs.update(seen)
-            if sum(len(c) for c, _ in held.values()) > HELD:
-                yield flush()
-    if held:
-        yield flush()
+            size += len(counts)
+            if size > HELD:
+                yield from flush()
+                size = 0
+    yield from flush()
 
 
 def _share(n: Column, total: Column, terms: Column) -> Column:
@@ -145,6 +152,7 @@ def _rounds(cells: DataFrame, rounds: range) -> DataFrame:
 def term_counts(docs: DataFrame, *, text_col="text", lang_col="lang", source_col="source") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in each group and the documents that hold it; null
     text, lang and source read ''. Every group also has a row with a null term."""
+    short_batches(docs.sparkSession)
     rows = docs.select(text_or_empty(lang_col).alias("lang"), text_or_empty(source_col).alias("source"), text_or_empty(text_col).alias("text"))
     parts = rows.mapInArrow(_counts, "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

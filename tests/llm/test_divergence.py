@@ -59,3 +59,14 @@ def test_every_two_blocks_meet_once(spark):
         cells = spark.createDataFrame([(b, blocks) for b in range(blocks)], "b int, blocks int")
         met = [frozenset((r.b, r.home_block)) for r in divergence._rounds(cells, range(blocks - 1)).collect()]
         assert len(met) == len(set(met)) == blocks * (blocks - 1) // 2
+
+
+def test_counts_take_terms_as_the_pattern_does_in_few_rows():
+    import pyarrow as pa
+
+    every = "".join(map(chr, range(0x250))) + "a\u00a0b\u2003c\u3000d A-Z zz"
+    texts = [every, "x" * 3 + " Y", "", *[f"term{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(9000)] * 2]
+    own = pa.record_batch([pa.array(["l"] * len(texts)), pa.array(["s"] * len(texts)), pa.array(texts)], ["lang", "source", "text"])
+    got = pa.Table.from_batches(divergence._counts([own])).to_pylist()
+    want = Counter(w for t in texts for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)))
+    assert {r["term"]: r["n"] for r in got if r["term"] is not None} == want and len(got) == len(want) + 1
