@@ -10,15 +10,18 @@ level, so no hash decides what is the same phrase.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plurality.llm.common import discard, materialize, table, text_or_empty
+from plurality.llm.common import discard, materialize, short_batches, table, text_or_empty
 
 LEAST, MOST, TOP, SEED = 100, 5, 2000, 42
-#: Bits of a bitmap: about one for eight words, within these bounds. Bytes of text that are counted at a time.
-LEAST_BITS, MOST_BITS, SLICE = 16, 26, 4 << 20
+#: Bits of a bitmap: about one for eight words, within these bounds. Bytes of text that are counted at a time,
+#: and that wait for that in a task; texts taken from a batch at once.
+LEAST_BITS, MOST_BITS, SLICE, HELD, FEW = 16, 26, 3 << 20, 20 << 20, 256
 _GROUP = 1 << 15  # bits of one row of Spark's bitmap aggregate
 
 #: Bytes that end a piece read as one of them; blanks part words.
@@ -41,30 +44,36 @@ class _Numbers(dict):
 
 def _slices(batches, carry: int):
     """(lang, words, fresh): up to about ``SLICE`` bytes of a language's texts; ``fresh`` is 0 where the words begin
-    a text, else the number of words at the start that the slice before has had."""
-    for batch in batches:
-        by_lang: dict[str, list[bytes]] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(text.encode())
-        for lang, texts in by_lang.items():
-            held, size = [], 0
-            for text in texts:
-                if len(text) > SLICE:
-                    at, last = 0, []
-                    while at < len(text):
-                        end = text.find(b" ", at + SLICE)
-                        end = len(text) if end < 0 else end
-                        words = _words(text[at:end])
-                        yield lang, last + words, len(last)
-                        last, at = (last + words)[-carry:], end
-                    continue
-                held.append(text)
-                size += len(text)
-                if size > SLICE:
-                    yield lang, _words(_END.join(held)), 0
-                    held, size = [], 0
-            if held:
-                yield lang, _words(_END.join(held)), 0
+    a text, else the number of words at the start that the slice before has had. Texts wait over batches, ``HELD`` bytes
+    of all languages at most."""
+    import pyarrow as pa
+
+    held: dict[str, list[bytes]] = {}
+    sizes: Counter = Counter()
+    for batch in (whole.slice(at, FEW) for whole in batches for at in range(0, whole.num_rows, FEW)):
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            if len(text) > SLICE:
+                at, last = 0, []
+                while at < len(text):
+                    end = text.find(b" ", at + SLICE)
+                    end = len(text) if end < 0 else end
+                    words = _words(text[at:end])
+                    yield lang, last + words, len(last)
+                    last, at = (last + words)[-carry:], end
+                continue
+            held.setdefault(lang, []).append(text)
+            sizes[lang] += len(text)
+            if sizes[lang] > SLICE:
+                del sizes[lang]
+                yield lang, _words(_END.join(held.pop(lang))), 0
+        if sizes.total() > HELD:
+            sizes.clear()
+            while held:
+                lang, texts = held.popitem()
+                yield lang, _words(_END.join(texts)), 0
+    while held:
+        lang, texts = held.popitem()
+        yield lang, _words(_END.join(texts)), 0
 
 
 def _dense(codes: np.ndarray) -> tuple[np.ndarray, int]:
@@ -107,7 +116,7 @@ def _pass(level: int, bits: int, shared, ahead: bool):
                 continue
             known = _Numbers({_END: 0})
             ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-            names = list(known)
+            names, words = list(known), None
             hashes, word = _hashes(lang, names)[ids], ids != 0
             # Level by level: number and hash of the sequence that starts at each place, and whether it is one.
             codes, size, grams, inside, shorter = ids, len(names), hashes, word, None
@@ -163,6 +172,7 @@ def phrase_counts(docs: DataFrame, *, text_col="text", lang_col="lang", least=LE
     """(counts, totals): ``lang, phrase, words, n`` of every sequence of 1 to ``most`` words with n >= least, and
     ``lang, n`` with all words of each language. Null lang reads ``und``, null text ''."""
     spark = docs.sparkSession
+    short_batches(spark)
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -64,3 +64,14 @@ def test_a_text_longer_than_a_slice(spark):
 def test_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, lang string, text string")
     assert collocations.collocations(docs).count() == 0
+
+
+def test_texts_wait_over_batches_in_bounded_memory():
+    """Slices do not end with a batch, so small batches count a phrase no more often; some bytes wait at most."""
+    import pyarrow as pa
+
+    texts = [(lang, f"{lang} text {i}") for i in range(600) for lang in ("a", "b")]
+    batches = [pa.record_batch([pa.array([x for x, _ in texts[i : i + 10]]), pa.array([t for _, t in texts[i : i + 10]])], ["lang", "text"]) for i in range(0, 1200, 10)]
+    found = list(collocations._slices(batches, 1))
+    assert sorted(lang for lang, *_ in found) == ["a", "b"]
+    assert sum(w != b"." for _, words, _ in found for w in words) == 3 * 1200
