@@ -16,12 +16,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plurality.llm.common import table, text_or_empty
+from plurality.llm.common import handing_back, table, text_or_empty
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a slice, bytes of words in one recursive query, words kept from slice to slice, and the
 #: length in bytes above which words take the query that contracts all places of a pair at once.
-SLICE, QUERY, KEPT, LONG = 1 << 20, 400_000, 400_000, 64
+SLICE, QUERY, KEPT, LONG = 1 << 19, 200_000, 400_000, 64
 
 _PAIRS = """
   pairs AS (SELECT w, p, t, lead(t) OVER s AS nt, lag(p) OVER s AS prev FROM bpe WHERE live WINDOW s AS (PARTITION BY w ORDER BY p)),
@@ -206,7 +206,7 @@ def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | Non
                 yield pa.record_batch(out, names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(handing_back(run), schema)
 
 
 def decode(encoded: DataFrame, *, id_col="doc_id", ids_col="ids", path: str | None = None) -> DataFrame:

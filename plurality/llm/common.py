@@ -59,6 +59,35 @@ def short_batches(spark: SparkSession) -> None:
         spark.conf.set(name, "2000")
 
 
+def hand_back() -> None:
+    """Gives memory that this process has freed back to the system; without glibc only what Arrow holds."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def handing_back(run):
+    """``run``, a function for ``mapInArrow``, with ``hand_back`` at the end of each partition.
+
+    Spark keeps a worker for later tasks, and what an idle one holds counts as its executor's memory.
+    """
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            hand_back()
+
+    return whole
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once for each row, however often ``body`` uses it."""
     return F.transform(F.array(value), body)[0]

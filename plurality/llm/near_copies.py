@@ -8,7 +8,8 @@ above). Every link, of either index, is verified on the shingles themselves.
 
 Equal sets are one row throughout. In a band's bucket rows are first tied to one centre, then to the most typical row,
 which is like all that are not far from the rest; only pairs that are still apart, and whose shingles outside
-their own text are enough for the similarity, are compared one by one.
+their own text are enough for the similarity, are compared one by one. Buckets of few rows skip the rounds: all their pairs that
+are still apart are compared, at most ``(FEW_ROWS - 1) / 2`` a row.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plurality.llm import simhash
-from plurality.llm.common import materialize, short_batches, text_or_empty
+from plurality.llm.common import handing_back, materialize, short_batches, text_or_empty
 from plurality.llm.components import components
 
 SHINGLE, SEED, BANDS, ROWS = 5, 42, 20, 5
@@ -27,6 +28,8 @@ OVER, UNDER = 4, 5
 #: Rounds that tie buckets to a centre before the rest is compared; pairs, in rows, that are compared at once; the share of
 #: the pairs that a round must settle for another to follow (speed only: what is not tied is compared).
 CENTRES, FEW_PAIRS, SETTLED = 6, 4, 0.25
+#: Rows of a bucket up to which its pairs cost less than a round and the prefix filter, which writes out every shingle (speed only).
+FEW_ROWS = 16
 #: The round whose centres are the most typical rows of their buckets; the others' are drawn by hash.
 TYPICAL = 1
 _LAST = 2**63 - 1  # stands for a null id
@@ -152,33 +155,45 @@ def links(rows: DataFrame, docs: DataFrame) -> DataFrame:
     ends = close.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     named = materialize(met.select("k", "row").unionByName(ends.join(prints, "k").select("k", "row")).distinct(), "near-named")
     wanted = named.select("row.doc", "row.th").distinct()
-    sets = docs.join(wanted, ["doc", "th"], "left_semi").select("text").mapInArrow(_sets, "k long, hashes array<long>")
+    sets = docs.join(wanted, ["doc", "th"], "left_semi").select("text").mapInArrow(handing_back(_sets), "k long, hashes array<long>")
     sets = materialize(sets.join(named.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("hashes").alias("hashes")), "near-sets")
     edges, often = materialize(_verified(close, sets), "near-tied"), None
     open_rows = materialize(_labelled(met, edges), "near-labels")
     before, many = float("inf"), False
     for turn in range(CENTRES):
-        # Buckets whose rows are still apart, and the pairs left in them.
+        # Buckets whose rows are still apart; the rounds are for the crowded ones, and the pairs left in them.
         by_label = open_rows.groupBy("bucket", "c").agg(F.count(F.lit(1)).alias("n"))
         apart = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-        total = apart.agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2, F.sum("n")).first()
+        total = apart.filter(F.col("n") > FEW_ROWS).agg(F.sum(F.col("n") * F.col("n") - F.col("own")) / 2, F.sum("n")).first()
         many = bool(total[1]) and total[0] > FEW_PAIRS * total[1]
         if not many or (turn != TYPICAL and total[0] > (1 - SETTLED) * before):
             break
         before = total[0]
-        open_rows = open_rows.join(apart.select("bucket"), "bucket", "left_semi")
+        open_rows = open_rows.join(apart.select("bucket", "n"), "bucket")
+        crowded, open_rows = open_rows.filter(F.col("n") > FEW_ROWS).drop("n"), open_rows.drop("n")
         if turn == TYPICAL:
-            often = _often(open_rows, sets)
+            often = _often(crowded, sets)
             typical = often.groupBy("k").agg(F.avg("n").alias("typical"))
-            centre = open_rows.join(typical, "k").groupBy("bucket").agg(F.min_by(F.struct("k", "size", "c"), F.struct(-F.col("typical"), F.col("k"))).alias("m"))
+            centre = crowded.join(typical, "k").groupBy("bucket").agg(F.min_by(F.struct("k", "size", "c"), F.struct(-F.col("typical"), F.col("k"))).alias("m"))
         else:
-            centre = open_rows.groupBy("bucket").agg(F.min_by(F.struct("k", "size", "c"), F.xxhash64(F.lit(turn), F.col("k"))).alias("m"))
-        tied = open_rows.join(centre, "bucket").filter((F.col("c") != F.col("m.c")) & _alike("size", "m.size")).select(*_pair("k", "m.k")).distinct()
+            centre = crowded.groupBy("bucket").agg(F.min_by(F.struct("k", "size", "c"), F.xxhash64(F.lit(turn), F.col("k"))).alias("m"))
+        tied = crowded.join(centre, "bucket").filter((F.col("c") != F.col("m.c")) & _alike("size", "m.size")).select(*_pair("k", "m.k")).distinct()
         found = materialize(_verified(tied, sets), "near-tied")
         edges = materialize(edges.unionByName(found), "near-edges")
         open_rows = materialize(_labelled(open_rows, edges), "near-labels")
-    rest = _verified(_apart(open_rows, often) if many and often is not None else _any_apart(open_rows), sets)
-    return edges.unionByName(rest)
+    if many and often is not None:
+        few, crowded = _by_rows(open_rows)
+        pairs = _any_apart(few).unionByName(_apart(crowded, often)).distinct()
+    else:
+        pairs = _any_apart(open_rows)
+    return edges.unionByName(_verified(pairs, sets))
+
+
+def _by_rows(open_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of buckets of at most ``FEW_ROWS`` rows, and the others that are not of one label alone."""
+    of = open_rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), (F.min("c") < F.max("c")).alias("apart")).filter("apart").select("bucket", (F.col("n") > FEW_ROWS).alias("crowded"))
+    dealt = open_rows.join(of, "bucket")
+    return dealt.filter("NOT crowded").drop("crowded"), dealt.filter("crowded").drop("crowded")
 
 
 def _often(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
@@ -221,7 +236,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, th, k, c) of each row: id (null: after all others), hash of the text, its set, and what similar sets share."""
     short_batches(docs.sparkSession)
     texts = docs.select(_place(id_col).alias("doc"), text_or_empty(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("th"))
-    rows = materialize(texts.mapInArrow(_sketches, "doc long, th long, k long, size int, bands array<long>, fp long"), "near-sketches")
+    rows = materialize(texts.mapInArrow(handing_back(_sketches), "doc long, th long, k long, size int, bands array<long>, fp long"), "near-sketches")
     member = materialize(components(links(rows, texts)), "near-members")
     return rows.select("doc", "th", "k").join(member, F.col("k") == F.col("node"), "left").select("doc", "th", F.coalesce("component", "k").alias("c"))
 

@@ -123,3 +123,21 @@ def test_the_pigeonhole_index_ties_copies_that_share_no_band(spark):
     fps = {r.doc: r.fp & (2**64 - 1) for r in sketches.collect()}
     close = {frozenset((k[i], k[100 + i])) for i in range(20) if (fps[i] ^ fps[100 + i]).bit_count() <= simhash.DISTANCE}
     assert len(close) > 10 and close <= found
+
+
+def test_only_crowded_buckets_write_their_shingles_out(spark, monkeypatch):
+    """Pairs of small buckets are compared as they are: what is written out does not grow with them, and no link is lost."""
+    rng = random.Random(9)
+    crowded = [edited(rng, [f"w{i}" for i in range(150)], rng.choice([1, 2, 4, 6, 8, 10])) for _ in range(60)]
+    small = []
+    for g in range(50):
+        base = [f"g{g}-{i}" for i in range(150)]
+        small += [" ".join(base), edited(rng, base, 3), edited(rng, base, 6)]
+    real, keys = near_copies._often, set()
+    monkeypatch.setattr(near_copies, "_often", lambda rows, sets: keys.update(r.k for r in rows.select("k").distinct().collect()) or real(rows, sets))
+    monkeypatch.setattr(near_copies, "FEW_PAIRS", 0)
+    monkeypatch.setattr(simhash, "links", lambda unique, *a: unique.selectExpr("id AS a", "id AS b").limit(0))  # bands alone: more is left open
+    rows = list(enumerate(crowded + small))
+    kept = {r.doc_id for r in near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_kept(rows) and len(kept) > 60
+    assert keys and keys <= set(near_copies._signed([near_copies._key(near_copies.shingles(t.encode())) for t in crowded]).tolist())
