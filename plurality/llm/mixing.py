@@ -23,6 +23,8 @@ EPOCHS = 3
 SEED = 7
 #: Equal rows are written out in chunks of so many.
 CHUNK = 10_000
+#: Virtual time from which all entries are one bucket: targets sum to the budget, which so ends near time 1 (speed only).
+FAR = 2.0
 NULL_KEY, KEY = "null", "="
 
 
@@ -115,6 +117,10 @@ def fair_queue(docs: DataFrame, *, id_col="doc_id", text_col="text", source_col=
     return queued.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
+def _bucketed(entries: DataFrame, steps: int) -> DataFrame:
+    return entries.withColumn("bucket", F.floor(F.least("at.finish", F.lit(FAR)) * steps))
+
+
 def _cut(entries: DataFrame, sources: DataFrame, budget: float | None):
     """The place of the last entry that fits the budget, or None; two single rows reach the driver."""
     facts = sources.agg(F.sum("source_size").alias("all"), F.sum("n").alias("n")).first()
@@ -123,7 +129,7 @@ def _cut(entries: DataFrame, sources: DataFrame, budget: float | None):
     limit = facts["all"] if budget is None else budget
     # All queues together pass equal amounts of tokens in equal spans of virtual time: even buckets.
     steps = max(1, int(facts["n"] ** 0.5))
-    entries = entries.withColumn("bucket", F.floor(F.col("at.finish") * steps))
+    entries = _bucketed(entries, steps)
     upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     reached = entries.groupBy("bucket").agg(F.sum("size").alias("tokens")).withColumn("upto", F.sum("tokens").over(upto))
     # The budget may end inside a bucket, or with its last row: rows of that bucket are sorted and summed.

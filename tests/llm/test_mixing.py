@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
 
+from plurality.llm import mixing
 from plurality.llm.mixing import fair_queue, mix_documents, source_targets
 
 
@@ -65,3 +66,20 @@ def test_edges(spark):
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r["copies"] for r in out)
     assert fair_queue(docs.limit(0)).count() == 0 and mix_documents(docs.limit(0)).count() == 0
+
+
+def test_where_buckets_end_changes_no_take(spark, monkeypatch):
+    """A bucket for all late entries bounds the buckets that one task sums; the cut may even lie in it."""
+    docs, taken = rows_of(spark, {"a": 6000, "b": 20, "c": 3000, None: 700}), []
+    for far in (1e9, 2.0, 0.01):
+        monkeypatch.setattr(mixing, "FAR", far)
+        taken.append(sorted((r["doc_id"], r["taken"]) for r in fair_queue(docs).collect()))
+    assert taken[0] == taken[1] == taken[2] and any(t for _, t in taken[0])
+
+
+def test_late_entries_are_one_bucket(spark):
+    finish = [k / 10 for k in range(1, 400)]
+    entries = spark.createDataFrame([(1, (f,)) for f in finish], "size long, at struct<finish double>")
+    sources = spark.createDataFrame([(399, 399)], "source_size long, n long")
+    assert mixing._bucketed(entries, 19).select("bucket").distinct().count() <= 2 * 19 + 1
+    assert mixing._cut(entries, sources, 100.0)["finish"] == 10.0
