@@ -15,6 +15,8 @@ from plurality.llm.common import discard, materialize, short_batches
 
 #: Least posterior of a language that a document is accepted with: more likely than all others together.
 MIN_POSTERIOR = 0.5
+#: Bytes of text in a slice and of words in a query of the last stage, half the standard: workers stand beside a JVM that four stages filled.
+SLICE, QUERY = 1 << 19, 200_000
 
 
 def _columns(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -55,7 +57,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of every row of the mix."""
     short_batches(spark)
-    return bpe.encode(docs)
+    return bpe.encode(docs, slice_bytes=SLICE, query_bytes=QUERY)
 
 
 STAGES = [

@@ -21,7 +21,7 @@ from plurality.llm.common import handing_back, table, text_or_empty
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text in a slice, bytes of words in one recursive query, words kept from slice to slice, and the
 #: length in bytes above which words take the query that contracts all places of a pair at once.
-SLICE, QUERY, KEPT, LONG = 1 << 19, 200_000, 400_000, 64
+SLICE, QUERY, KEPT, LONG = 1 << 20, 400_000, 400_000, 64
 
 _PAIRS = """
   pairs AS (SELECT w, p, t, lead(t) OVER s AS nt, lag(p) OVER s AS prev FROM bpe WHERE live WINDOW s AS (PARTITION BY w ORDER BY p)),
@@ -107,17 +107,17 @@ class Codec:
         self.db.unregister("start")
         return np.bincount(found["w"], minlength=len(words)), np.asarray(found["t"], np.int32)
 
-    def _learn(self, words: list[str]):
-        """Adds the tokens of new words."""
+    def _learn(self, words: list[str], most: int):
+        """Adds the tokens of new words, about ``most`` bytes of them in a query."""
         plain, split = [], []
         for word in words:
             (plain if word.encode() in self.ranks else split).append(word)
         split.sort(key=lambda w: (len(w) > LONG // 4, len(w)))
-        groups, size = [], QUERY
+        groups, size = [], most
         for word in split:
             b = word.encode()
             long = len(b) > LONG
-            if size + len(b) > QUERY or groups[-1][0] != long:
+            if size + len(b) > most or groups[-1][0] != long:
                 groups.append((long, [], []))
                 size = 0
             groups[-1][1].append(word), groups[-1][2].append(b)
@@ -132,14 +132,14 @@ class Codec:
         self.starts = np.concatenate([self.starts, at + np.cumsum(lengths) - lengths])
         self.lengths, self.pool = np.concatenate([self.lengths, lengths]), np.concatenate([self.pool, *tokens])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = QUERY) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each text has)."""
         words = [self.words_of(t) for t in texts]
         if len(self.place) > KEPT:
             self._clear()
         new = {w for own in words for w in own if w not in self.place}
         if new:
-            self._learn(sorted(new))
+            self._learn(sorted(new), most)
         place = self.place
         at = np.fromiter((place[w] for own in words for w in own), np.int64)
         lengths = self.lengths[at]
@@ -168,22 +168,22 @@ def codec(path: str | None = None) -> Codec:
     return Codec(path)
 
 
-def _slices(batch, column: int):
+def _slices(batch, column: int, most: int = SLICE):
     import pyarrow.compute as pc
 
     sizes = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
     start = 0
     while start < batch.num_rows:
-        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE, side="right")))
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
         yield batch.slice(start, end - start)
         start = end
 
 
-def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | None = None, with_ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | None = None, with_ids: bool = True, slice_bytes: int = SLICE, query_bytes: int = QUERY) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each row, and its ``ids`` unless ``with_ids`` is false.
 
     The hashes are of the ids as little-endian unsigned 32-bit integers, and of the bytes that decoding
-    those ids gives. Null texts count as empty: no ids. Rows are handled where they stand, repeated ones
+    those ids gives. Smaller slices and queries take less memory and more time. Null texts count as empty: no ids. Rows are handled where they stand, repeated ones
     alike; an empty table gives no rows; only the two named columns are read.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
@@ -193,8 +193,8 @@ def encode(docs: DataFrame, *, id_col="doc_id", text_col="text", path: str | Non
 
         own = codec(path)
         for whole in batches:
-            for batch in _slices(whole, 1):
-                ids, counts = own.encode(batch.column(1).to_pylist())
+            for batch in _slices(whole, 1, slice_bytes):
+                ids, counts = own.encode(batch.column(1).to_pylist(), query_bytes)
                 decoded = own.decode(ids, counts)
                 ends = np.cumsum(counts)
                 hashes = [hashlib.sha256(ids[e - n : e].astype("<u4").tobytes()).hexdigest() for e, n in zip(ends, counts, strict=True)]

@@ -1,4 +1,4 @@
-from plurality.llm import common
+from plurality.llm import bpe, common
 
 
 def test_memory_goes_back_once_a_partition_ends(monkeypatch):
@@ -25,3 +25,9 @@ def test_freed_memory_reaches_the_system():
     del held
     common.hand_back()
     assert len(pins) == 40 and before - resident() > 40_000_000
+
+
+def test_slices_of_any_size_encode_alike(spark):
+    docs = spark.createDataFrame([(i, f"word{i} of {i * i} texts " * (i + 1)) for i in range(30)] + [(None, None)], "doc_id long, text string")
+    large, small = (sorted(map(str, bpe.encode(docs, **o).collect())) for o in ({}, {"slice_bytes": 100, "query_bytes": 20}))
+    assert large == small and len(large) == 31
