@@ -97,6 +97,15 @@ def test_weighted_ranks_equal_resampled_rows(spark):
     assert abs(S.spearman(weighted, [], "x", "y", weight="m").first()[0] - S.spearman(copied, [], "x", "y").first()[0]) < 1e-12
 
 
+def test_rank_correlation_of_millions_of_rows(spark):
+    # Their cube is above 2^63 at 2,097,152 rows; the rank of a value is the same multiple of the rows in both tables.
+    rows = [("a", 1.0, 4.0, 3), ("a", 2.0, 4.0, 2), ("a", 2.0, 7.0, 1), ("a", 5.0, 1.0, 4), ("flat", 1.0, 3.0, 3), ("flat", 2.0, 3.0, 7), ("flat", 3.0, 3.0, 1)]
+    rho = lambda times, keys: {r[0] if keys else "": r["rho"] for r in S.spearman(spark.createDataFrame([(*r[:3], r[3] * times) for r in rows if keys or r[0] == "a"], "k string, x double, y double, m long"), keys, "x", "y", weight="m").collect()}
+    few, many = rho(1, ["k"]), rho(1_000_003, ["k"])
+    assert abs(few["a"] - many["a"]) < 1e-12 and few["flat"] is None and many["flat"] is None
+    assert abs(rho(1_000_003, [])[""] - few["a"]) < 1e-12
+
+
 def test_split_keeps_texts_together(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(100)], "id long, text string")
     split = G.assign(docs, 20, 10)
