@@ -132,8 +132,8 @@ def calibration(dev: DataFrame) -> DataFrame:
 
 
 def calibrate(long: DataFrame, fitted: DataFrame) -> DataFrame:
-    """Adds ``calibrated`` (clipped to [0, 1]) and ``constant``; ``fitted`` has one row a code."""
-    own = long.join(fitted.select("code", "intercept", "slope", "constant"), "code")
+    """Adds ``calibrated`` (clipped to [0, 1]) and ``constant``; ``fitted`` has one row a code, so it goes to the scores, not they to it."""
+    own = long.join(F.broadcast(fitted.select("code", "intercept", "slope", "constant")), "code")
     return own.withColumn("calibrated", X.unit_clip(F.col("intercept") + F.col("slope") * _p())).drop("intercept", "slope")
 
 

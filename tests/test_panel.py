@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plurality.functions import exprs as X
 from plurality.functions import stats as S
+from plurality.operators import analysis as A
 from plurality.operators import audit as D
 from plurality.operators import cleaning as C
 from plurality.operators import constraints as K
@@ -106,6 +108,27 @@ def test_rank_correlation_of_millions_of_rows(spark):
     assert abs(rho(1_000_003, [])[""] - few["a"]) < 1e-12
 
 
+def test_scores_are_not_shuffled_to_meet_few_rows(spark):
+    rows = [(f"t{i % 70}", f"i{i}", "ab"[i % 2], (i % 9) / 8, (i % 5) / 4, 3 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, item_id string, code string, h double, p double, n_annotators int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parted = G.assign(df, 20, 10)
+        fitted = spark.createDataFrame(A.calibration(parted.filter("split = 'dev'")).collect())
+        out = A.calibrate(parted.filter("split = 'test'"), fitted)
+        joins = [x for x in (parted, out) if "SortMergeJoin" in x._jdf.queryExecution().sparkPlan().toString()]
+        assert not joins and out.count() == parted.filter("split = 'test'").count()
+        order = sorted({r[0] for r in rows}, key=lambda t: hashlib.sha256(f"dev:42:{t}".encode()).hexdigest())
+        sizes, taken, dev = {t: sum(r[0] == t for r in rows) for t in order}, 0, set()
+        for t in order:
+            if taken >= 20:
+                break
+            taken, dev = taken + sizes[t], dev | {t}
+        assert {r["text"] for r in parted.filter("split = 'dev'").collect()} == dev
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_split_keeps_texts_together(spark):
     docs = spark.createDataFrame([(i, f"text {i % 30}") for i in range(100)], "id long, text string")
     split = G.assign(docs, 20, 10)
